@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from filament.operators.changefeed import standing
 from filament.operators.instants import tick_instants
 from filament.operators.shredding import agenda_tables, entity, link, shred
+from filament.plans.agenda import _FIELDS, _LINES
 from filament.runtime import new_path, table
 
 
@@ -44,4 +45,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_phases, p2_lines, p4_found, p4_how, p5_found)}
-SQL: dict[str, str] = {}
+_EDGE = r"[\s\x{00A0}\x{2000}-\x{200B}\x{202F}\x{3000}\x{FEFF}]+"
+SQL = {
+    "p2_found": f"WITH {_LINES}, t AS (SELECT snap_id, phase_no, ligne_no, regexp_replace(ligne_amendement_uid, '^{_EDGE}|{_EDGE}$', '', 'g') AS ligne_amendement_uid FROM lg) SELECT * FROM t WHERE ligne_amendement_uid <> ''",
+    "p2_lines": f"WITH {_LINES} SELECT snap_id, phase_no, ligne_no, {', '.join(_FIELDS)} FROM lg",
+    "p2_phases": f"WITH {_LINES} SELECT snap_id, phase_no, p ->> '$.phase_libelle' AS phase_libelle, p ->> '$.phase_type' AS phase_type FROM ph WHERE json_type(p) = 'OBJECT'",
+    # The least seq that reaches a node by naming links, spread along them until nothing changes.
+    "p5_found": """WITH RECURSIVE n AS (SELECT sitting_uid, seq, bool_or(regexp_replace(lower(state), '\\s+', '', 'g') = 'retracted') AS gone FROM thread_nodes GROUP BY ALL),
+        e AS (SELECT DISTINCT q.sitting_uid, q.seq AS a, q.x AS b FROM (SELECT sitting_uid, seq, unnest(supersedes) AS x FROM thread_nodes) q JOIN n ON n.sitting_uid = q.sitting_uid AND n.seq = q.x WHERE q.x < q.seq),
+        g AS (SELECT sitting_uid, a, b FROM e UNION ALL SELECT sitting_uid, b, a FROM e),
+        r AS (SELECT sitting_uid, seq AS top, seq AS node FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.sitting_uid = n.sitting_uid AND e.b = n.seq) UNION SELECT r.sitting_uid, r.top, g.b FROM r JOIN g ON g.sitting_uid = r.sitting_uid AND g.a = r.node),
+        m AS (SELECT sitting_uid, node, max(top) AS top FROM r GROUP BY ALL)
+        SELECT n.sitting_uid, n.seq FROM n JOIN m ON m.sitting_uid = n.sitting_uid AND m.node = n.seq WHERE m.top = n.seq AND NOT n.gone""",
+}
