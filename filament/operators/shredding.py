@@ -13,6 +13,8 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from filament.runtime import durable
+
 #: How often a document may be wrapped as a JSON string inside a JSON string.
 MAX_WRAPS = 8
 
@@ -154,6 +156,7 @@ def agenda_tables(snapshots: DataFrame) -> dict[str, DataFrame]:
     once = snapshots.where("snap_id is not null")
     lines = ["id", "ligne_type", "ligne_libelle_1", "ligne_libelle_compl_1", "depute_tribun_id", "ligne_amendement_uid", "ligne_amendement_derouleur_division_ancre", "ligne_video_highlighted", "texte_bibard"]
     adj = shred(once, "snap_id", "body", ["phase_libelle", "phase_type", "jaune_date_time", "extract_date_time", *lines])
+    adj = durable(adj, "adjacency")  # shredded once, read once per entity
     snaps = entity(adj, "racine.jaune", ["id", "jaune_date_time", "extract_date_time"]).selectExpr("key as snap_id", "id as jaune_id", "jaune_date_time", "extract_date_time").distinct()
     phases = entity(adj, "racine.contenu.phase", ["phase_libelle", "phase_type"])
     ligne = link(entity(adj, "racine.contenu.phase.ligne", lines), phases, "phase")

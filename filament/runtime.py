@@ -76,6 +76,13 @@ def filesystem(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Enough tasks for every core, for few rows that each cost much; not merged again by size."""
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def _clean() -> None:
     for ref, path in _made:
         spark = ref()
