@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from filament.llm.bktree import SHARD_ENTRIES
 from filament.llm.names import Register, register_of
+from filament.runtime import spread
 
 _SCHEMA = "entry_id bigint, text string, slips int, uids array<string>"
 
@@ -44,7 +45,7 @@ def match_entries(entries: DataFrame, acteurs: DataFrame, organes: DataFrame, sh
     shards = shards or max(1, -(-people.count() // SHARD_ENTRIES))
     if shards == 1:
         held = spark.sparkContext.broadcast((sorted(tuple(r) for r in people.collect()), groups))  # at most SHARD_ENTRIES rows
-        return once.mapInArrow(lambda it: _resolve(register_of(*held.value), it), _SCHEMA)
+        return spread(once, "entry_id").mapInArrow(lambda it: _resolve(register_of(*held.value), it), _SCHEMA)
     held = spark.sparkContext.broadcast(groups)
     blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     left = people.withColumn("shard", F.pmod(F.xxhash64("nom"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
