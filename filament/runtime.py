@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _made: list[tuple[weakref.ref, str]] = []
 
@@ -77,10 +77,14 @@ def filesystem(spark: SparkSession, path: str):
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Enough tasks for every core, for few rows that each cost much; not merged again by size."""
+    """Enough tasks for every core, for few rows that each cost much; not merged again by size.
+
+    Rows are spread by a hash of ``keys``, not by the keys: else an earlier partitioning by these,
+    merged into few tasks, would count as the same.
+    """
     spark = df.sparkSession
     n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *keys)
+    return df.repartition(n, F.xxhash64(*keys))
 
 
 def _clean() -> None:
