@@ -22,22 +22,32 @@ LIMIT, OVERLAP = 512, 64
 _SLACK = 3
 
 # Abbreviations whose full stop ends no sentence.
-_ABBREVIATIONS = r"(?<!\bM)(?<!\bMM)(?<!\bMme)(?<!\bMlle)(?<!\bDr)(?<!\bPr)(?<!\bMe)(?<!\bart)(?<!\bArt)(?<!\bcf)(?<!\bCf)(?<!\bn)(?<!\bp)(?<!\bSt)(?<!\bMr)(?<!\bMrs)(?<!\bNr)(?<!\bSr)(?<!\bSra)"
+_ABBREVIATIONS = {"M", "MM", "Mme", "Mlle", "Dr", "Pr", "Me", "art", "Art", "cf", "Cf", "n", "p", "St", "Mr", "Mrs", "Nr", "Sr", "Sra"}
+_SENTENCE = re.compile(r"[.!?…]+[\"»”’)\]*]*(?=\s+[\"«“(\[*–—-]*\s*[A-ZÀ-ÞŒ0-9])|[。！？]+")
+_LINE = re.compile("(?:\r\n|\n|\r|\u2028)[^\\S\r\n\u2028\u2029]*")
+_PARAGRAPH = re.compile("(?:\r\n|\n|\r)[^\\S\r\n]*(?:\r\n|\n|\r)\\s*|\u2029\\s*")
+_LAST_WORD = re.compile(r"\w*\Z")
 
 
 def boundary_signs(text: str, ends: np.ndarray, safe: np.ndarray) -> str:
     """One sign per token; ``ends`` are character offsets after the tokens, ``safe`` whether one ends there."""
-    mark = np.zeros(len(text) + 1, np.uint8)
-    mark[:] = ord("o")
-    for m in re.finditer(r"\s+|$|(?<=[^\w\s])(?=\w)|(?<=\w)(?=[^\w\s])", text):
-        mark[m.start()] = ord("w")
-    for m in re.finditer(_ABBREVIATIONS + r"[.!?…]+[\"»”’)\]*]*(?=\s+[\"«“(\[*–—-]*\s*[A-ZÀ-ÞŒ0-9])|[。！？]+", text):
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    n = len(code)
+    space = (code == 32) | ((code >= 9) & (code <= 13)) | (code == 0xA0) | ((code >= 0x2000) & (code <= 0x200B)) | (code == 0x202F) | (code == 0x3000)
+    word = ((code >= 48) & (code <= 57)) | ((code >= 65) & (code <= 90)) | ((code >= 97) & (code <= 122)) | ((code >= 0xAA) & (code < 0x2000) & (code != 0xAB) & (code != 0xBB)) | (code >= 0x3040)
+    kind = np.where(space, 0, np.where(word, 1, 2))
+    mark = np.full(n + 1, ord("o"), np.uint8)
+    mark[1:n][(kind[1:] != kind[:-1]) & (kind[:-1] != 0)] = ord("w")
+    mark[n] = ord("w")
+    for m in _SENTENCE.finditer(text):
+        at = m.start()
+        if text[at] == "." and _LAST_WORD.search(text[max(0, at - 6) : at]).group() in _ABBREVIATIONS:
+            continue
         mark[m.end()] = ord("S")
-    for m in re.finditer(r"(?:\r\n|\n|\r| )[^\S\r\n  ]*", text):
+    for m in _LINE.finditer(text):
         mark[m.end() - len(m.group()) + 1 : m.end() + 1] = ord("L")
-    for m in re.finditer(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)\s*| \s*", text):
-        first = m.start() + 1 + max(0, len(m.group()) - len(m.group().lstrip("\r\n"))) - 1
-        mark[max(first, m.start() + 1) : m.end() + 1] = ord("P")
+    for m in _PARAGRAPH.finditer(text):
+        mark[m.start() + 2 if len(m.group()) > 1 else m.end() : m.end() + 1] = ord("P")
     signs = mark[ends]
     signs[~safe] = ord("x")
     return signs.tobytes().decode("ascii")
