@@ -13,8 +13,8 @@ def _segments(spark: SparkSession, d: str, text: bool) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Turns by their first and last speech segment; unlabelled segments stay with the speaker before."""
-    return turns.speaker_turns(_segments(spark, d, False).select("sitting_uid", "seg_id", "beg", "key"), switch=0.0).select("sitting_uid", "first_seg_id", "last_seg_id")
+    """Turns by their first and last speech segment; the floor moves by labels only (switch 0)."""
+    return turns.speaker_turns(_segments(spark, d, False), switch=0.0).select("sitting_uid", "first_seg_id", "last_seg_id")
 
 
 def p1_turns(spark: SparkSession, d: str) -> DataFrame:
