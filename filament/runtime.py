@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _made: list[tuple[weakref.ref, str]] = []
 
@@ -76,7 +76,7 @@ def filesystem(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Enough tasks for every core, for few rows that each cost much; not merged again by size.
 
     Rows are spread by a hash of ``keys``, not by the keys: else an earlier partitioning by these,
