@@ -14,6 +14,9 @@ from filament.runtime import durable, table
 
 QUERIES, SQL, query = registry()
 
+#: Utterances in one page of the nested projection.
+PAGE = 1000
+
 _UTT = "u AS (SELECT DISTINCT sitting_uid, ord, text FROM segments WHERE type = 'utterance' AND text IS NOT NULL AND ord IS NOT NULL AND beg IS NOT NULL)"
 _UP = "A-ZÀÂÉÈÊËÎÏÔÙÛÇ"
 _NAME = rf"(?:[Mm]onsieur|[Mm]adame|M\.|Mme)\s+(?:l[ea]\s+)?[{_UP}][\p{{L}}\p{{N}}_''’-]*(?:\s+[{_UP}][\p{{L}}\p{{N}}_''’-]*)*"
@@ -178,14 +181,12 @@ def _rejoin(texts: list[str]) -> str:
     return "\n".join(lines)
 
 
-@query()
-def realigned(spark, d):
+def _realigned(spark, d):
     """Count windows re-cut at sentence starts and mapped back onto their utterances."""
     return corrections(count_windows_of(events_of(spark, d)), _rejoin)
 
 
-@query()
-def word_error_rate(spark, d):
+def _word_errors(spark, d):
     """Word errors of each interim against the utterance that took its place, summed by sitting."""
     e = events_of(spark, d)
     s = scan(e, ["sitting_uid"], ["ord"], lag={"_t": F.col("type"), "_x": F.col("text")}).where("type = 'utterance' and _t = 'interim' and text is not null and _x is not null")
@@ -195,4 +196,15 @@ def word_error_rate(spark, d):
     return total.withColumn("wer", (F.col("s") + F.col("d") + F.col("i")) / F.nullif(F.col("n"), F.lit(0)))
 
 
+
+def _projection(spark, d):
+    """Pages of utterances as nested segments, with the speakers who are named in them."""
+    w = count_windows_of(events_of(spark, d), PAGE, 0)
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform("targets", lambda x: T.speaker_names(x["text"])))))
+    return w.select("sitting_uid", F.col("win").alias("page"), F.col("targets").alias("segments"), names.alias("speakers"))
+
+
+QUERIES |= {"realign": _realigned, "wer": _word_errors, "segments_projection": _projection}
+
+
 __all__ = ["Matcher", "QUERIES", "SQL", "corrections", "utterances"]

@@ -64,6 +64,27 @@ class Floor(StatefulProcessor):
         pass
 
 
+class Context(StatefulProcessor):
+    """The amendment on hand at every utterance: the last one named so far."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "uid string")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        held = self.held.get()[0] if self.held.exists() else None
+        pdf = pd.concat(list(rows)).sort_values("ord", kind="stable")
+        out = []
+        for place, uid in zip(pdf["ord"], pdf["uid"], strict=True):
+            held = uid if isinstance(uid, str) and uid else held
+            out.append((key[0], int(place), held))
+        if held is not None:
+            self.held.update((held,))
+        yield pd.DataFrame(out, columns=["sitting_uid", "ord", "amendement_uid"])
+
+    def close(self) -> None:
+        pass
+
+
 class ChangedOnly(StatefulProcessor):
     """Content that differs from the last good one; null content repeats the last reference."""
 
@@ -170,6 +191,11 @@ def floor_stream(speakers: DataFrame) -> DataFrame:
     return _run(speakers.select("sitting_uid", "seq", "uid", "call"), Floor(), "sitting_uid string, seq bigint, uid string, floor string")
 
 
+def context_stream(utterances: DataFrame) -> DataFrame:
+    """(sitting_uid, ord, uid) into the amendment on hand; ``uid`` is the one an utterance names, or null."""
+    return _run(utterances.select("sitting_uid", "ord", "uid"), Context(), "sitting_uid string, ord bigint, amendement_uid string")
+
+
 def dedup_stream(snapshots: DataFrame) -> DataFrame:
     return _run(snapshots.select("sitting_uid", "snap_id", "hash"), ChangedOnly(), "sitting_uid string, snap_id bigint, changed boolean, ref bigint")
 

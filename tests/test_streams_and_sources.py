@@ -73,6 +73,14 @@ def test_cooldown_and_rate(spark, events, tmp_path):
     assert rate.where("n > 14").count() == 0 and rate.count() > 10
 
 
+def test_context_twin(spark, events, tmp_path):
+    named = F.when(F.col("ord") % 7 == 3, F.concat(F.lit("A"), F.col("ord").cast("string")))
+    got = drain(P.context_stream(stream_of(spark, events).withColumn("uid", named)), tmp_path, "context")
+    e = events[0].withColumn("uid", named)
+    want = scan(e, ["sitting_uid"], ["ord"], last={"prior": F.col("uid")}).select("sitting_uid", "ord", F.coalesce("uid", "prior").alias("amendement_uid"))
+    assert same(got, want)
+
+
 def test_floor_and_dedup(spark, tmp_path):
     P.state_store(spark)
     (tmp_path / "s").mkdir()
