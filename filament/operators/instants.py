@@ -171,8 +171,11 @@ def to_instants(df: DataFrame, wall: str, reference_ms: Column, group: Sequence[
     parsed = durable(parsed, "walls")  # read once, used for the history and for the conversion
     history = offset_history(parsed, group, "_naive_us", "_in_us", candidates_min, bin_s)
     on = [F.col(f"p.{g}").eqNullSafe(F.col(f"h.{g}")) for g in group]
-    p = parsed.withColumn("_b", F.floor(F.col("_naive_us") / (bin_s * 1_000_000))).alias("p")
-    both = p.join(history.alias("h"), [*on, F.col("p._b") == F.col("h._bin")], "left").select("p.*", F.col("h.offset_min").alias("_est"))
+    # Only walls without a zone meet the history: the others, whose bin is null, would pile up on one key.
+    known = parsed.where("_naive_us is null").withColumn("_est", F.lit(None).cast("int"))
+    p = parsed.where("_naive_us is not null").withColumn("_b", F.floor(F.col("_naive_us") / (bin_s * 1_000_000))).alias("p")
+    both = p.join(history.alias("h"), [*on, F.col("p._b") == F.col("h._bin")], "left").select(*[F.col(f"p.`{c}`") for c in parsed.columns], F.col("h.offset_min").alias("_est"))
+    both = both.union(known.select(*[F.col(f"`{c}`") for c in parsed.columns], "_est"))
     both = both.withColumn("_guess", F.col("_naive_us") - F.col("_est").cast("bigint") * 60_000_000)
     guess = F.col("_guess")
     if zone is None:
