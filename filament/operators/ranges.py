@@ -8,8 +8,11 @@ group that holds a third of all rows is spread like the rest.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filament.runtime import durable
@@ -65,3 +68,75 @@ def scan(df: DataFrame, part: Sequence[str], order: Sequence[str], lag: Mapping[
         *[F.coalesce(f"_l_{k}", f"_c_{k}").alias(k) for k in last],
         *[(F.col(f"_l_{k}") + F.col(f"_c_{k}")).alias(k) for k in total],
     )
+
+
+def _runs(t: pa.Table) -> Iterator[tuple[str | None, np.ndarray]]:
+    """(group, ascending values) of one range."""
+    t = t.sort_by([("part", "ascending"), ("value", "ascending")])
+    parts, values = t.column("part").to_pylist(), t.column("value").to_numpy()
+    cuts = [0, *[i for i in range(1, len(parts)) if parts[i] != parts[i - 1]], len(parts)]
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        if z > a:
+            yield parts[a], values[a:z]
+
+
+def _last_kept(b: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each value the place of the next one kept after it, and the last one kept if it is kept."""
+    follow = np.searchsorted(b, b + gap, side="left")
+    last = b.copy()
+    for i in range(len(b) - 1, -1, -1):
+        if follow[i] < len(b):
+            last[i] = last[follow[i]]
+    return follow, last
+
+
+def greedy_gap(df: DataFrame, part: str, value: str, gap: float) -> DataFrame:
+    """(part, value): the distinct values that lie at least ``gap`` after the last one kept before them.
+
+    Which values of a range are kept depends on what came before only by its last kept value, and that
+    lies before the range: so only values within ``gap`` of a range's first can be its first kept one.
+    Each range gives these with the last value kept from each, the few rows a group has are gone
+    through in order, and each range then keeps its values. Null values are left out; null groups are a
+    group; the first value of a group is always kept.
+    """
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kind = df.schema[part].dataType.simpleString()
+    rows = df.select(F.col(part).alias("part"), F.col(value).cast("double").alias("value")).where("value is not null").distinct()
+    rows = durable(rows.repartitionByRange(n, "part", "value").withColumn("rid", F.spark_partition_id()), "gaps")
+
+    def ends(key: tuple, t: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        for p, b in _runs(t):
+            k = min(int(np.searchsorted(b, b[0] + gap, side="left")) + 1, len(b))
+            out.append((p, key[0].as_py(), b[:k].tolist(), _last_kept(b, gap)[1][:k].tolist()))
+        cols = list(zip(*out, strict=True))
+        return pa.table({"part": pa.array(cols[0], t.schema.field("part").type), "rid": pa.array(cols[1], pa.int32()), "starts": pa.array(cols[2], pa.list_(pa.float64())), "lasts": pa.array(cols[3], pa.list_(pa.float64()))})
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, last, into = pdf.sort_values("rid"), None, []
+        for starts, lasts in zip(pdf["starts"], pdf["lasts"], strict=True):
+            into.append(last)
+            at = 0 if last is None else int(np.searchsorted(starts, last + gap, side="left"))
+            if at < len(starts):
+                last = float(lasts[at])
+        return pd.DataFrame({"part": pdf["part"], "rid": pdf["rid"], "last": pd.array(into, "Float64")})
+
+    def keep(key: tuple, t: pa.Table, before: pa.Table) -> pa.Table:
+        known = dict(zip(before.column("part").to_pylist(), before.column("last").to_pylist(), strict=True))
+        groups: list = []
+        kept: list[float] = []
+        for p, b in _runs(t):
+            step, _ = _last_kept(b, gap)
+            last = known.get(p)
+            i = 0 if last is None else int(np.searchsorted(b, last + gap, side="left"))
+            while i < len(b):
+                groups.append(p)
+                kept.append(float(b[i]))
+                i = int(step[i])
+        return pa.table({"part": pa.array(groups, t.schema.field("part").type), "value": pa.array(kept, pa.float64())})
+
+    summary = rows.groupBy("rid").applyInArrow(ends, f"part {kind}, rid int, starts array<double>, lasts array<double>")
+    carried = summary.groupBy("part").applyInPandas(follow, f"part {kind}, rid int, last double")
+    out = rows.groupBy("rid").cogroup(durable(carried, "carried").groupBy("rid")).applyInArrow(keep, f"part {kind}, value double")
+    return out.select(F.col("part").alias(part), F.col("value").alias(value))

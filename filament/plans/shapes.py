@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filament.operators.intervals import overlap_argmax as best_overlap, window_density
-from filament.operators.ranges import scan
+from filament.operators.ranges import greedy_gap, scan
 from filament.operators.trees import walk
 from filament.plans import registry
 from filament.runtime import table
@@ -131,15 +131,5 @@ def turn_boundary(spark, d):
 @query(f"""WITH RECURSIVE {_SEG}, x AS (SELECT DISTINCT sitting_uid, beg FROM s), k AS (SELECT sitting_uid, min(beg) AS beg FROM x GROUP BY sitting_uid UNION ALL SELECT k.sitting_uid, (SELECT min(x.beg) FROM x WHERE x.sitting_uid = k.sitting_uid AND x.beg >= k.beg + {COOLDOWN_S}) FROM k WHERE k.beg IS NOT NULL)
     SELECT sitting_uid, beg FROM k WHERE beg IS NOT NULL""")
 def cooldown(spark, d):
-    """Begins that come at least the cooldown after the last one let through.
-
-    Where the pause before a begin reaches the cooldown the begin is let through whatever came before,
-    so the order is cut there and only the clusters between are folded.
-    """
-    x = pieces(spark, d).select("sitting_uid", "beg").distinct()
-    a = scan(x, ["sitting_uid"], ["beg"], lag={"was": F.col("beg")})
-    a = a.withColumn("cut", F.coalesce(F.col("beg") - F.col("was") >= COOLDOWN_S, F.lit(True)).cast("int")).drop("was")
-    c = scan(a, ["sitting_uid"], ["beg"], total={"before": F.col("cut")}).withColumn("cluster", F.col("before") + F.col("cut"))
-    g = c.groupBy("sitting_uid", "cluster").agg(F.array_sort(F.collect_list("beg")).alias("l"))
-    kept = F.aggregate("l", F.array().cast("array<double>"), lambda acc, b: F.when((F.size(acc) == 0) | (b >= F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1e18)) + COOLDOWN_S), F.concat(acc, F.array(b))).otherwise(acc))
-    return g.select("sitting_uid", F.explode(kept).alias("beg"))
+    """Begins that come at least the cooldown after the last one let through."""
+    return greedy_gap(pieces(spark, d), "sitting_uid", "beg", COOLDOWN_S)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from filament.functions import resolve as R, text as T
 from filament.operators.intervals import overlap_argmax, window_density
+from filament.operators.ranges import greedy_gap
 from filament.operators.trees import walk
 
 
@@ -93,6 +94,25 @@ def test_intervals_against_loops(spark):
         assert dense.get(i, 0) == pytest.approx(sum(max(0.0, min(y, b + 30) - max(x, b)) for q, _, x, y, _ in left if q == p))
 
 
+@pytest.mark.parametrize("parts", ["1", "5", "40"])
+def test_greedy_gap_across_ranges(spark, parts):
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([None, *[rng.uniform(0, 400)] * 9])) for _ in range(700)]
+    want, last = [], {}
+    for p, v in sorted({r for r in rows if r[1] is not None}, key=lambda r: r[1]):
+        if p not in last or v >= last[p] + 3.0:
+            want.append((p, v))
+            last[p] = v
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = [tuple(r) for r in greedy_gap(spark.createDataFrame(rows, "p string, v double"), "p", "v", 3.0).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert greedy_gap(spark.createDataFrame([], "p string, v double"), "p", "v", 3.0).count() == 0
+
+
 def test_entry_points():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 70
