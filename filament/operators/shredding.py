@@ -147,21 +147,23 @@ def link(child: DataFrame, parent: DataFrame, name: str) -> DataFrame:
     return child.join(p, ["key", "parent"])
 
 
-def agenda_tables(snapshots: DataFrame) -> dict[str, DataFrame]:
+#: Scalar fields of an agenda line.
+LINE_FIELDS = ["id", "ligne_type", "ligne_libelle_1", "ligne_libelle_compl_1", "depute_tribun_id", "ligne_amendement_uid", "ligne_amendement_derouleur_division_ancre", "ligne_video_highlighted", "texte_bibard"]
+
+
+def agenda_tables(snapshots: DataFrame, fields: Sequence[str] = LINE_FIELDS) -> dict[str, DataFrame]:
     """Snapshot, phase and line tables of agenda bodies (``snap_id``, ``body``).
 
-    Copies of a snapshot (same snap_id) count once. Rows whose snap_id is null are kept as snapshots
-    of their own key null only if they carry a body; they can't be told apart and are left out here.
+    ``fields`` are the line fields that are wanted; others are not shredded. Copies of a snapshot
+    (same snap_id) count once; rows whose snap_id is null can't be told apart and are left out.
     """
     once = snapshots.where("snap_id is not null")
-    lines = ["id", "ligne_type", "ligne_libelle_1", "ligne_libelle_compl_1", "depute_tribun_id", "ligne_amendement_uid", "ligne_amendement_derouleur_division_ancre", "ligne_video_highlighted", "texte_bibard"]
-    adj = shred(once, "snap_id", "body", ["phase_libelle", "phase_type", "jaune_date_time", "extract_date_time", *lines])
+    adj = shred(once, "snap_id", "body", [*{"id": 0, "phase_libelle": 0, "phase_type": 0, "jaune_date_time": 0, "extract_date_time": 0} | dict.fromkeys(fields)])
     adj = durable(adj, "adjacency")  # shredded once, read once per entity
     snaps = entity(adj, "racine.jaune", ["id", "jaune_date_time", "extract_date_time"]).selectExpr("key as snap_id", "id as jaune_id", "jaune_date_time", "extract_date_time").distinct()
-    phases = entity(adj, "racine.contenu.phase", ["phase_libelle", "phase_type"])
-    ligne = link(entity(adj, "racine.contenu.phase.ligne", lines), phases, "phase")
+    ligne = link(entity(adj, "racine.contenu.phase.ligne", fields), entity(adj, "racine.contenu.phase", []), "phase")
     return {
         "snapshots": snaps,
-        "phases": phases.selectExpr("key as snap_id", "cast(ordinal as bigint) as phase_no", "phase_libelle", "phase_type").distinct(),
-        "lignes": ligne.selectExpr("key as snap_id", "cast(phase_no as bigint) as phase_no", "cast(ordinal as bigint) as ligne_no", *lines).distinct(),
+        "phases": entity(adj, "racine.contenu.phase", ["phase_libelle", "phase_type"]).selectExpr("key as snap_id", "cast(ordinal as bigint) as phase_no", "phase_libelle", "phase_type").distinct(),
+        "lignes": ligne.selectExpr("key as snap_id", "cast(phase_no as bigint) as phase_no", "cast(ordinal as bigint) as ligne_no", *fields).distinct(),
     }

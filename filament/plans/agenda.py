@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from filament.functions import text as T
 from filament.operators.ranges import scan
-from filament.operators.shredding import agenda_tables
+from filament.operators.shredding import LINE_FIELDS, agenda_tables
 from filament.plans import registry
 from filament.plans.text import _UTT, utterances
 from filament.plans.thread import _BALLOT, _NUMS, _TICKS, ticks_of
@@ -19,7 +19,7 @@ KINDS = {"ARTICLE": "article", "ADT": "amendment", "SSADT": "amendment", "INSCRI
 OPEN_LINES = 20
 
 _LIST = "CASE json_type({x}) WHEN 'ARRAY' THEN list_filter(json_extract({x}, '$[*]'), lambda y: json_type(y) <> 'NULL') WHEN 'OBJECT' THEN [{x}] ELSE [] END"
-_FIELDS = ["id", "ligne_type", "ligne_libelle_1", "ligne_libelle_compl_1", "depute_tribun_id", "ligne_amendement_uid", "ligne_amendement_derouleur_division_ancre", "ligne_video_highlighted", "texte_bibard"]
+_FIELDS = LINE_FIELDS
 _LINES = f"""b AS (SELECT snap_id, any_value(sitting_uid) AS sitting_uid, any_value(seen_at) AS seen_at, any_value(regexp_replace(body, '^[\\s\\x{{FEFF}}]+', '')) AS body FROM derouleur WHERE snap_id IS NOT NULL GROUP BY snap_id),
     j0 AS (SELECT snap_id, sitting_uid, seen_at, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM b),
     j1 AS (SELECT snap_id, sitting_uid, seen_at, CASE WHEN json_type(j) = 'VARCHAR' AND json_valid(j ->> '$') THEN CAST(j ->> '$' AS JSON) ELSE j END AS j FROM j0),
@@ -34,16 +34,16 @@ def blank(name: str) -> Column:
     return F.nullif(F.col(name), F.lit(""))
 
 
-def tables_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(lines, phases) of all snapshots, with the snapshot's sitting and time."""
+def tables_of(spark: SparkSession, d: str, *fields: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, phases) of all snapshots, with the snapshot's sitting and time; lines with the fields wanted."""
     snaps = table(spark, d, "derouleur").where("snap_id is not null")
-    t = agenda_tables(snaps.select("snap_id", "body"))
+    t = agenda_tables(snaps.select("snap_id", "body"), fields or LINE_FIELDS)
     head = snaps.select("snap_id", "sitting_uid", "seen_at").distinct()
     return t["lignes"].join(head, "snap_id"), t["phases"].join(head, "snap_id")
 
 
-def lines_of(spark: SparkSession, d: str) -> DataFrame:
-    return tables_of(spark, d)[0]
+def lines_of(spark: SparkSession, d: str, *fields: str) -> DataFrame:
+    return tables_of(spark, d, *fields)[0]
 
 
 _LABEL = "concat_ws(' ', nullif(ligne_libelle_1, ''), nullif(ligne_libelle_compl_1, ''))"
@@ -52,19 +52,19 @@ _LABEL = "concat_ws(' ', nullif(ligne_libelle_1, ''), nullif(ligne_libelle_compl
 @query(f"WITH {_LINES} SELECT snap_id, phase_no, ligne_no, ligne_amendement_uid AS uid FROM lg WHERE ligne_amendement_uid <> ''")
 def agenda_lines(spark, d):
     """Lines with an amendment, of snapshots in every shape."""
-    return lines_of(spark, d).where("ligne_amendement_uid <> ''").select("snap_id", "phase_no", "ligne_no", F.col("ligne_amendement_uid").alias("uid"))
+    return lines_of(spark, d, "ligne_amendement_uid").where("ligne_amendement_uid <> ''").select("snap_id", "phase_no", "ligne_no", F.col("ligne_amendement_uid").alias("uid"))
 
 
 @query(f"""WITH {_LINES} SELECT snap_id, phase_no, ligne_no, CASE {" ".join(f"WHEN ligne_type = '{k}' THEN '{v}'" for k, v in KINDS.items())} ELSE 'phase' END AS kind, {_LABEL} AS label FROM lg""")
 def line_kind(spark, d):
     kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
-    return lines_of(spark, d).select("snap_id", "phase_no", "ligne_no", F.coalesce(kinds[F.col("ligne_type")], F.lit("phase")).alias("kind"), F.concat_ws(" ", blank("ligne_libelle_1"), blank("ligne_libelle_compl_1")).alias("label"))
+    return lines_of(spark, d, "ligne_type", "ligne_libelle_1", "ligne_libelle_compl_1").select("snap_id", "phase_no", "ligne_no", F.coalesce(kinds[F.col("ligne_type")], F.lit("phase")).alias("kind"), F.concat_ws(" ", blank("ligne_libelle_1"), blank("ligne_libelle_compl_1")).alias("label"))
 
 
 @query(f"WITH {_LINES} SELECT snap_id, phase_no, ligne_no, 'PA' || nullif(depute_tribun_id, '') AS acteur, nullif(depute_tribun_id, '') AS tribun, nullif(ligne_amendement_uid, '') AS amendement_uid FROM lg")
 def canonical_struct(spark, d):
     c = F.struct(F.concat(F.lit("PA"), blank("depute_tribun_id")).alias("acteur"), blank("depute_tribun_id").alias("tribun"), blank("ligne_amendement_uid").alias("amendement_uid"))
-    return lines_of(spark, d).select("snap_id", "phase_no", "ligne_no", c.alias("canonical")).select("snap_id", "phase_no", "ligne_no", "canonical.*")
+    return lines_of(spark, d, "depute_tribun_id", "ligne_amendement_uid").select("snap_id", "phase_no", "ligne_no", c.alias("canonical")).select("snap_id", "phase_no", "ligne_no", "canonical.*")
 
 
 _ADT = r"SELECT *, CAST(regexp_extract(ligne_amendement_uid, 'N([0-9]{6})\s*$', 1) AS INTEGER) AS num FROM lg WHERE ligne_type IN ('ADT', 'SSADT') AND regexp_matches(ligne_amendement_uid, 'N[0-9]{6}\s*$')"
@@ -78,7 +78,7 @@ def amendments(lines: DataFrame) -> DataFrame:
 
 def agenda_of(spark: SparkSession, d: str) -> DataFrame:
     """The agenda as it accumulates: per sitting and number the last entry seen, never deleted."""
-    a = amendments(lines_of(spark, d))
+    a = amendments(lines_of(spark, d, "ligne_type", "ligne_amendement_uid", "ligne_libelle_1", "ligne_libelle_compl_1"))
     return a.groupBy("sitting_uid", "num").agg(F.max_by(F.struct(F.trim("ligne_amendement_uid").alias("uid"), F.concat_ws(" ", blank("ligne_libelle_1"), blank("ligne_libelle_compl_1")).alias("label")), F.struct("snap_id", "phase_no", "ligne_no")).alias("e")).select("sitting_uid", "num", "e.*")
 
 
@@ -112,7 +112,7 @@ def agenda_asof(spark, d):
     """Amendment nodes against the agenda known when they were said: how many snapshots had the number by then."""
     n = table(spark, d, "thread_nodes").where("kind = 'amendment'").groupBy("sitting_uid", "seq").agg(F.min("t").alias("t"), F.min("canonical.amendement_uid").alias("uid")).where(F.col("uid").rlike("N[0-9]{6}$"))
     t = n.join(table(spark, d, "sittings").select("sitting_uid", "starttime"), "sitting_uid").select("sitting_uid", "seq", F.regexp_extract("uid", "N([0-9]{6})$", 1).cast("int").alias("num"), (F.col("starttime") * 1000 + F.col("t")).alias("at_ms"))
-    k = amendments(lines_of(spark, d)).select("sitting_uid", "num", F.unix_millis("seen_at").alias("at_ms"), "snap_id").distinct()
+    k = amendments(lines_of(spark, d, "ligne_type", "ligne_amendement_uid")).select("sitting_uid", "num", F.unix_millis("seen_at").alias("at_ms"), "snap_id").distinct()
     # As-of by one ordered pass: the running count of snapshots of a number, read at each node. At the
     # same instant the snapshot comes first.
     both = k.select("sitting_uid", "num", "at_ms", F.lit(0).alias("probe"), F.col("snap_id").alias("seq")).union(t.select("sitting_uid", "num", "at_ms", F.lit(1), "seq"))
@@ -165,7 +165,7 @@ def highlight_transitions(spark, d):
     """Highlighted lines that enter, come back, or change their label from one snapshot to the next."""
     snaps = table(spark, d, "derouleur").where("snap_id is not null").select("sitting_uid", "snap_id").distinct()
     k = scan(snaps, ["sitting_uid"], ["snap_id"], total={"n": F.lit(1)}).select("snap_id", (F.col("n") + 1).alias("k"))
-    h = lines_of(spark, d).where("ligne_video_highlighted = 'true' and id is not null").join(k, "snap_id")
+    h = lines_of(spark, d, "ligne_video_highlighted", "id", "ligne_libelle_1", "ligne_libelle_compl_1").where("ligne_video_highlighted = 'true' and id is not null").join(k, "snap_id")
     h = h.groupBy("sitting_uid", "id", "k").agg(F.min(F.concat_ws(" ", blank("ligne_libelle_1"), blank("ligne_libelle_compl_1"))).alias("label"))
     s = scan(h, ["sitting_uid", "id"], ["k"], lag={"was": F.struct("k", "label")})
     fresh = F.col("was").isNull() | (F.col("was.k") != F.col("k") - 1)
@@ -177,7 +177,7 @@ def highlight_transitions(spark, d):
     SELECT x.snap_id, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(lit, 0) AS BIGINT) AS highlighted, CAST(coalesce(qag, 0) AS BIGINT) AS qag, coalesce(pt.libelle, '') AS phase FROM x LEFT JOIN c ON c.snap_id = x.snap_id LEFT JOIN pt ON pt.snap_id = x.snap_id AND pt.phase_no = coalesce(c.hp, x.lp)""")
 def snapshot_summary(spark, d):
     """Lines, highlights, questions and the active phase: the last one with a highlight, else the last."""
-    lines, phases = tables_of(spark, d)
+    lines, phases = tables_of(spark, d, "ligne_video_highlighted", "ligne_type")
     lit = F.col("ligne_video_highlighted") == "true"
     c = lines.groupBy("snap_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(lit).alias("highlighted"), F.count_if(F.col("ligne_type") == "INSCRITQAG").alias("qag"), F.max(F.when(lit, F.col("phase_no"))).alias("hp"))
     last = phases.groupBy("snap_id").agg(F.max("phase_no").alias("lp"))
@@ -190,7 +190,7 @@ def snapshot_summary(spark, d):
     o AS (SELECT snap_id, bool_or(slate) AS slate, coalesce(sum(n) FILTER (WHERE work AND NOT slate), 0) AS n FROM s GROUP BY snap_id) SELECT snap_id, slate, CAST(n AS BIGINT) AS content_lines, NOT slate AND n >= {OPEN_LINES} AS open FROM o""")
 def open_detection(spark, d):
     """Whether a snapshot shows a sitting on air: no slate, and enough lines of work."""
-    lines, phases = tables_of(spark, d)
+    lines, phases = tables_of(spark, d, "ligne_type")
     c = lines.groupBy("snap_id", "phase_no").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(F.col("ligne_type").startswith("NEXTSEANCE"), F.lit(False))).alias("nxt"), F.bool_or(F.coalesce(F.col("ligne_type").isin("ADT", "ARTICLE", "SSADT"), F.lit(False))).alias("work"))
     s = phases.join(c, ["snap_id", "phase_no"], "left")
     slate = F.coalesce(F.col("phase_type") == "IS", F.lit(False)) | F.upper(F.coalesce("phase_libelle", F.lit(""))).contains("PROVID") | F.coalesce("nxt", F.lit(False))
@@ -201,14 +201,14 @@ def open_detection(spark, d):
 @query(f"WITH {_LINES}, h AS (SELECT snap_id, list(coalesce(id, '') ORDER BY phase_no, ligne_no) AS l FROM lg WHERE ligne_video_highlighted = 'true' GROUP BY snap_id) SELECT snap_id, coalesce(l[4], l[-1]) AS cursor FROM h")
 def cursor_guess(spark, d):
     """The fourth highlighted line of a snapshot, else the last."""
-    h = lines_of(spark, d).where("ligne_video_highlighted = 'true'").groupBy("snap_id").agg(F.array_sort(F.collect_list(F.struct("phase_no", "ligne_no", F.coalesce("id", F.lit("")).alias("id")))).alias("l"))
+    h = lines_of(spark, d, "ligne_video_highlighted", "id").where("ligne_video_highlighted = 'true'").groupBy("snap_id").agg(F.array_sort(F.collect_list(F.struct("phase_no", "ligne_no", F.coalesce("id", F.lit("")).alias("id")))).alias("l"))
     return h.select("snap_id", F.coalesce(F.try_element_at("l.id", F.lit(4)), F.element_at("l.id", -1)).alias("cursor"))
 
 
 @query(f"""WITH {_LINES} SELECT DISTINCT kind, key FROM (SELECT 'tribun' AS kind, regexp_extract(depute_tribun_id, '[0-9]+', 0) AS key FROM lg UNION ALL SELECT 'amendement', trim(ligne_amendement_uid) FROM lg UNION ALL SELECT 'bibard', trim(texte_bibard) FROM lg) q WHERE key <> ''""")
 def key_extraction(spark, d):
     """All keys that the snapshots mention, by kind."""
-    x = lines_of(spark, d).select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in (("tribun", F.regexp_extract("depute_tribun_id", "[0-9]+", 0)), ("amendement", F.trim("ligne_amendement_uid")), ("bibard", F.trim("texte_bibard")))])).alias("x"))
+    x = lines_of(spark, d, "depute_tribun_id", "ligne_amendement_uid", "texte_bibard").select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in (("tribun", F.regexp_extract("depute_tribun_id", "[0-9]+", 0)), ("amendement", F.trim("ligne_amendement_uid")), ("bibard", F.trim("texte_bibard")))])).alias("x"))
     return x.select("x.*").where("key <> ''").distinct()
 
 
@@ -239,13 +239,13 @@ def keyed_semi_join(spark, d):
 @query(f"WITH {_LINES} SELECT bibard, doc_id FROM documents d WHERE bibard IN (SELECT trim(texte_bibard) FROM lg WHERE texte_bibard <> '') AND source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY bibard ORDER BY doc_id DESC) = 1")
 def documents_by_key(spark, d):
     """Of the documents of each bill on the agenda the last one that has a source."""
-    k = lines_of(spark, d).where("texte_bibard <> ''").select(F.trim("texte_bibard").alias("bibard")).distinct()
+    k = lines_of(spark, d, "texte_bibard").where("texte_bibard <> ''").select(F.trim("texte_bibard").alias("bibard")).distinct()
     return table(spark, d, "documents").where("source is not null").join(k, "bibard", "left_semi").groupBy("bibard").agg(F.max("doc_id").alias("doc_id"))
 
 
 @query(f"WITH {_LINES}, k AS (SELECT DISTINCT 'PA' || trim(depute_tribun_id) AS uid FROM lg WHERE trim(depute_tribun_id) <> '') SELECT CAST(count(*) AS BIGINT) AS asked, CAST(count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM acteurs a WHERE a.uid = k.uid)) AS BIGINT) AS unresolved FROM k")
 def unresolved_keys(spark, d):
-    k = durable(lines_of(spark, d).where("trim(depute_tribun_id) <> ''").select(F.concat(F.lit("PA"), F.trim("depute_tribun_id")).alias("uid")).distinct(), "keys")
+    k = durable(lines_of(spark, d, "depute_tribun_id").where("trim(depute_tribun_id) <> ''").select(F.concat(F.lit("PA"), F.trim("depute_tribun_id")).alias("uid")).distinct(), "keys")
     a = table(spark, d, "acteurs").select("uid", F.lit(1).alias("found")).distinct()
     return k.join(a, "uid", "left").agg(F.count(F.lit(1)).alias("asked"), F.count_if(F.col("found").isNull()).alias("unresolved"))
 
@@ -258,7 +258,7 @@ def referential_slice(spark, d):
 @query(f"""WITH {_LINES} SELECT snap_id, phase_no, ligne_no, '{{"amendements":[{{"numero":"' || CAST(num AS VARCHAR) || '","bibard":"' || trim(coalesce(texte_bibard, '')) || '","legislature":"17"}}]}}' AS body FROM ({_ADT}) q""")
 def reshape_json(spark, d):
     """Lines rebuilt in the shape of the detail interface."""
-    a = amendments(lines_of(spark, d))
+    a = amendments(lines_of(spark, d, "ligne_type", "ligne_amendement_uid", "texte_bibard"))
     item = F.struct(F.col("num").cast("string").alias("numero"), F.trim(F.coalesce("texte_bibard", F.lit(""))).alias("bibard"), F.lit("17").alias("legislature"))
     return a.select("snap_id", "phase_no", "ligne_no", F.to_json(F.struct(F.array(item).alias("amendements"))).alias("body"))
 
@@ -287,7 +287,7 @@ def catalog_filter(spark, d):
 @query(f"WITH {_LINES}, c AS (SELECT sitting_uid, snap_id, phase_no, ligne_no, id, ligne_video_highlighted = 'true' AS live FROM lg WHERE id IS NOT NULL) SELECT sitting_uid, arg_min(id, snap_id * 1000000 + phase_no * 1000 + ligne_no) AS first_live FROM c WHERE live GROUP BY sitting_uid")
 def first_live_candidate(spark, d):
     """The first line of a sitting that was on air."""
-    return lines_of(spark, d).where("id is not null and ligne_video_highlighted = 'true'").groupBy("sitting_uid").agg(F.min_by("id", F.struct("snap_id", "phase_no", "ligne_no")).alias("first_live"))
+    return lines_of(spark, d, "id", "ligne_video_highlighted").where("id is not null and ligne_video_highlighted = 'true'").groupBy("sitting_uid").agg(F.min_by("id", F.struct("snap_id", "phase_no", "ligne_no")).alias("first_live"))
 
 
 @query(f"WITH {_TICKS} SELECT sitting_uid, coalesce(arg_max(raw_ref['liveplayer'], tick_id) FILTER (WHERE raw_ref['liveplayer'] <> ''), arg_max(raw_ref['nvs'], tick_id) FILTER (WHERE raw_ref['nvs'] <> '')) AS source FROM ticks GROUP BY sitting_uid")
