@@ -48,6 +48,18 @@ def decode(body: str | None):
     return None if isinstance(value, str) else value
 
 
+def documents(df: DataFrame, key: str, body: str) -> DataFrame:
+    """Every (key, body) once, as (doc, body): copies are removed before they are shredded.
+
+    ``doc`` is a struct of ``key`` and a number no other document has, so that different bodies under
+    one key are different documents, whose nodes are never joined with each other. Rows whose key or
+    body is null are left out. The numbers differ from run to run; ``shred`` the result once, into a
+    ``durable`` table.
+    """
+    once = df.select(F.col(key), F.col(body).cast("string").alias("body")).where(F.col(key).isNotNull() & F.col("body").isNotNull()).groupBy(key, "body").agg(F.lit(1).alias("_one"))
+    return once.select(F.struct(F.col(key), F.monotonically_increasing_id().alias("no")).alias("doc"), "body")
+
+
 def _scalar(v) -> str | None:
     if v is None or isinstance(v, str):
         return v
@@ -90,7 +102,8 @@ def shred(df: DataFrame, key: str, body: str, keep: Sequence[str] | None = None)
     ``keep`` names the scalar labels that are wanted; others are not produced (column pruning).
     Result for edge cases: a null, empty or damaged body gives no rows; a body that is a lone scalar
     gives no rows; an empty object gives its node; of a label repeated in one object the last counts.
-    A document given twice gives its rows twice, unless the caller removes copies.
+    A document given twice gives its rows twice, on the same keys; remove copies by ``documents``
+    before joining nodes.
     """
     kind = df.schema[key].dataType
     wanted = None if keep is None else frozenset(keep)
@@ -155,15 +168,15 @@ def agenda_tables(snapshots: DataFrame, fields: Sequence[str] = LINE_FIELDS) ->
     """Snapshot, phase and line tables of agenda bodies (``snap_id``, ``body``).
 
     ``fields`` are the line fields that are wanted; others are not shredded. Copies of a snapshot
-    (same snap_id) count once; rows whose snap_id is null can't be told apart and are left out.
+    (same snap_id and body) count once; rows whose snap_id is null can't be told apart and are left out.
     """
-    once = snapshots.where("snap_id is not null")
-    adj = shred(once, "snap_id", "body", [*{"id": 0, "phase_libelle": 0, "phase_type": 0, "jaune_date_time": 0, "extract_date_time": 0} | dict.fromkeys(fields)])
+    once = documents(snapshots, "snap_id", "body")
+    adj = shred(once, "doc", "body", [*{"id": 0, "phase_libelle": 0, "phase_type": 0, "jaune_date_time": 0, "extract_date_time": 0} | dict.fromkeys(fields)])
     adj = durable(adj, "adjacency")  # shredded once, read once per entity
-    snaps = entity(adj, "racine.jaune", ["id", "jaune_date_time", "extract_date_time"]).selectExpr("key as snap_id", "id as jaune_id", "jaune_date_time", "extract_date_time").distinct()
+    snaps = entity(adj, "racine.jaune", ["id", "jaune_date_time", "extract_date_time"]).selectExpr("key.snap_id", "id as jaune_id", "jaune_date_time", "extract_date_time").distinct()
     ligne = link(entity(adj, "racine.contenu.phase.ligne", fields), entity(adj, "racine.contenu.phase", []), "phase")
     return {
         "snapshots": snaps,
-        "phases": entity(adj, "racine.contenu.phase", ["phase_libelle", "phase_type"]).selectExpr("key as snap_id", "cast(ordinal as bigint) as phase_no", "phase_libelle", "phase_type").distinct(),
-        "lignes": ligne.selectExpr("key as snap_id", "cast(phase_no as bigint) as phase_no", "cast(ordinal as bigint) as ligne_no", *fields).distinct(),
+        "phases": entity(adj, "racine.contenu.phase", ["phase_libelle", "phase_type"]).selectExpr("key.snap_id", "cast(ordinal as bigint) as phase_no", "phase_libelle", "phase_type").distinct(),
+        "lignes": ligne.selectExpr("key.snap_id", "cast(phase_no as bigint) as phase_no", "cast(ordinal as bigint) as ligne_no", *fields).distinct(),
     }

@@ -266,15 +266,15 @@ def reshape_json(spark, d):
 @query(f"""WITH {_LINES} SELECT DISTINCT snap_id, j ->> '$.racine.jaune.id' AS jaune_id, j ->> '$.racine.jaune.jaune_date_time' AS at, json_type(j, '$.racine.contenu') AS shape FROM j1 WHERE json_type(j) = 'OBJECT'""")
 def pointer_summary(spark, d):
     """Head fields of every snapshot, with what stands under contenu; damaged bodies give no row."""
-    from filament.operators.shredding import entity, shred
+    from filament.operators.shredding import documents, entity, shred
 
-    adj = shred(table(spark, d, "derouleur").where("snap_id is not null"), "snap_id", "body", ["id", "jaune_date_time", "contenu"])
+    adj = shred(documents(table(spark, d, "derouleur"), "snap_id", "body"), "doc", "body", ["id", "jaune_date_time", "contenu"])
     adj = durable(adj.where("path in ('', 'racine', 'racine.jaune', 'racine.contenu', 'racine.jaune.id', 'racine.jaune.jaune_date_time')"), "heads")
     head = entity(adj, "racine.jaune", ["id", "jaune_date_time"]).select("key", F.col("id").alias("jaune_id"), F.col("jaune_date_time").alias("at"))
     kinds = F.create_map(F.lit("object"), F.lit("OBJECT"), F.lit("scalar"), F.lit("VARCHAR"), F.lit("null"), F.lit("NULL"))
     shape = adj.where("path = 'racine.contenu'").select("key", kinds[F.col("kind")].alias("shape"))
     roots = adj.where("path = '' and kind = 'object'").select("key")
-    return roots.join(head, "key", "left").join(shape, "key", "left").select(F.col("key").alias("snap_id"), "jaune_id", "at", "shape").distinct()
+    return roots.join(head, "key", "left").join(shape, "key", "left").select("key.snap_id", "jaune_id", "at", "shape").distinct()
 
 
 @query(f"WITH {_TICKS} SELECT sitting_uid, coalesce(bool_or(raw_ref['liveplayer'] <> ''), false) AS current, CAST(count(*) AS BIGINT) AS ticks FROM ticks GROUP BY sitting_uid HAVING bool_or(coalesce(raw_ref['derouleur'] <> '', false)) AND bool_or(coalesce(raw_ref['nvs'] <> '', false))")

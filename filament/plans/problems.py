@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filament.operators.changefeed import standing
 from filament.operators.instants import tick_instants
-from filament.operators.shredding import agenda_tables, entity, link, shred
+from filament.operators.shredding import agenda_tables, documents, entity, link, shred
 from filament.plans.agenda import _FIELDS, _LINES
 from filament.runtime import durable, new_path, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Agenda lines that carry an amendment uid, with their place in phase and snapshot."""
-    snaps = table(spark, d, "derouleur").where("snap_id is not null").select("snap_id", "body")
-    adj = durable(shred(snaps, "snap_id", "body", ["ligne_amendement_uid"]), "adjacency")
+    snaps = documents(table(spark, d, "derouleur"), "snap_id", "body")
+    adj = durable(shred(snaps, "doc", "body", ["ligne_amendement_uid"]), "adjacency")
     phases = adj.where("path = 'racine.contenu.phase' and kind = 'object'").select("key", "node", "parent", "ordinal")
     lines = link(entity(adj, "racine.contenu.phase.ligne", ["ligne_amendement_uid"]), phases, "phase")
     uid = F.regexp_replace("ligne_amendement_uid", r"(?U)^[\s\x{feff}\x{200b}]+|[\s\x{feff}\x{200b}]+$", "")
-    return lines.select(F.col("key").alias("snap_id"), F.col("phase_no").cast("bigint").alias("phase_no"), F.col("ordinal").cast("bigint").alias("ligne_no"), uid.alias("ligne_amendement_uid")).where("ligne_amendement_uid <> ''").distinct()
+    return lines.select("key.snap_id", F.col("phase_no").cast("bigint").alias("phase_no"), F.col("ordinal").cast("bigint").alias("ligne_no"), uid.alias("ligne_amendement_uid")).where("ligne_amendement_uid <> ''").distinct()
 
 
 def p2_phases(spark: SparkSession, d: str) -> DataFrame:

@@ -11,10 +11,12 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from filament.operators import instants as I
+from filament.operators import instants as I, shredding
 from filament.operators.changefeed import BucketedTable, standing, star_components, supersession_changes
 from filament.operators.shredding import decode, entity, shred
-from filament.plans.problems import p2_found, p4_found, p5_found
+from filament.plans import agenda, problems
+from filament.plans.problems import p2_found, p2_lines, p4_found, p5_found
+from filament.runtime import durable
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
@@ -157,6 +159,32 @@ def test_p2_decode_and_shapes(spark):
     assert shred(spark.createDataFrame([(1, deep)], "k int, b string"), "k", "b").where("label = 'a'").collect()[0]["scalar"] == "1"
 
 
+def test_copies_of_a_snapshot_are_shredded_once(spark, tmp_path, monkeypatch):
+    """Copies of one body are removed before any join; other bodies under its snap_id stay documents of their own."""
+    line = {"ligne_amendement_uid": "A", "ligne_type": "ADT"}
+    one = {"racine": {"jaune": {"id": "j"}, "contenu": {"phase": [{"ligne": [line, line]}, {"ligne": {"ligne_amendement_uid": "B"}}]}}}
+    # Here the phases have the same node numbers as nodes of the first body, but other places.
+    other = {"racine": {"contenu": {"phase": [{"ligne": {"ligne_amendement_uid": "C"}}, {"ligne": {"ligne_amendement_uid": "D"}}, {"ligne": {"ligne_amendement_uid": "E"}}]}}}
+    data = [(1, json.dumps(one))] * 2000 + [(1, json.dumps(other)), (2, json.dumps(other)), (2, None), (None, json.dumps(one))]
+    df = spark.createDataFrame([(k, "s", dt.datetime(2025, 1, 1), b) for k, b in data], "snap_id bigint, sitting_uid string, seen_at timestamp, body string")
+    df.repartition(4).write.parquet(str(tmp_path / "derouleur.parquet"))
+    written = []
+
+    def counted(kept, name="step"):
+        out = durable(kept, name)
+        written.append(out.count())
+        return out
+
+    for module in (shredding, problems, agenda):
+        monkeypatch.setattr(module, "durable", counted)
+    want = sorted({(k, *x) for k, b in data if k is not None for x in lines_of(b)})
+    assert sorted(tuple(r) for r in p2_found(spark, str(tmp_path)).collect()) == want
+    assert sorted((r["snap_id"], r["phase_no"], r["ligne_no"], r["ligne_amendement_uid"]) for r in p2_lines(spark, str(tmp_path)).collect()) == want
+    assert sorted(tuple(r) for r in agenda.agenda_lines(spark, str(tmp_path)).collect()) == want
+    assert sorted((r["snap_id"], r["jaune_id"] or "") for r in agenda.pointer_summary(spark, str(tmp_path)).collect()) == [(1, ""), (1, "j"), (2, "")]
+    assert len(written) == 4 and max(written) < 100
+
+
 # Problem 4
 
 PARIS = ZoneInfo("Europe/Paris")
