@@ -157,11 +157,12 @@ def offset_history(df: DataFrame, group: Sequence[str], local_us: str, ingest_us
 def to_instants(df: DataFrame, wall: str, reference_ms: Column, group: Sequence[str], ingest: str, zone: str = "Europe/Paris", candidates_min: Sequence[int] = (60, 120), bin_s: int = 3600) -> DataFrame:
     """Adds ``utc_ms``, ``how`` and ``offset_min`` to every row.
 
-    Zone-less walls get their offset from ``offset_history`` over ``group``; the rules of ``zone``
-    then check it exactly: where the civil time has one reading this reading holds, where it has two
-    the one nearer to ``reference_ms`` holds (the first if that is null), a skipped time is read with
-    the offset before the change. ``zone=None`` leaves the estimated offset as it is. Walls that
-    cannot be read take ``reference_ms``; if that is null too, ``utc_ms`` is null.
+    Zone-less walls are read by the rules of ``zone``, which decide every row: where the civil time
+    has one reading this reading holds, where it has two the one nearer to ``reference_ms`` holds (the
+    first if that is null), a skipped time is read with the offset before the change.
+    ``offset_history`` over ``group`` gives an estimate that tells in ``how`` whether it agrees; only
+    with ``zone=None`` does it decide. Walls that cannot be read take ``reference_ms``; if that is null
+    too, ``utc_ms`` is null.
     ``how`` is one of epoch, offset, zone, estimated, reference, none.
     """
     ref = (reference_ms.cast("bigint") * 1000).alias("_ref_us")
@@ -183,7 +184,7 @@ def to_instants(df: DataFrame, wall: str, reference_ms: Column, group: Sequence[
     else:
         both = zone_reading(both, "_naive_us", zone)
         first, second, ref_us = F.col("_first"), F.col("_second"), F.col("_ref_us")
-        # The estimate stands where the zone's rules allow it and nothing else decides.
+        # With one reading the rules decide whatever the estimate is, with two the reference does.
         chosen = F.when(first == second, F.when(guess == first, guess).otherwise(first)).when(F.abs(second - ref_us) < F.abs(first - ref_us), second).otherwise(first)
         both = both.withColumn("_chosen", chosen)
     fixed = F.col("_local_us") - F.col("_offset_min").cast("bigint") * 60_000_000
