@@ -73,24 +73,17 @@ class Register:
                 self.by_name[squeeze(fold(nom.split("-")[0]))].add(i)
         self.tree = BKTree(sorted(n for n in self.by_name if n))
         self.firsts = {squeeze(p[2]) for p in self.persons if p[2]}
-        self.memo: dict[str, list[tuple[int, str]]] = {}
+        self.memo: dict[tuple[str, int], list[str]] = {}
 
-    def surnames(self, word: str) -> list[tuple[int, str]]:
-        """The surnames (distance, name) within reach, nearest first."""
-        if word not in self.memo:
+    def surnames(self, word: str, slips: int) -> list[str]:
+        """The surnames just so many slips from a word, if their lengths allow these."""
+        if slips > reach(len(word)):
+            return []
+        if (word, slips) not in self.memo:
             if len(self.memo) > 200_000:
                 self.memo.clear()
-            self.memo[word] = self._surnames(word)
-        return self.memo[word]
-
-    def _surnames(self, word: str) -> list[tuple[int, str]]:
-        found: list[tuple[int, str]] = []
-        for r in range(reach(len(word)) + 1):
-            if found := self.tree.within(word, r):
-                # One slip further: a first name may tell that a near name was meant.
-                found = self.tree.within(word, min(r + 1, reach(len(word))))
-                break
-        return [(d, n) for d, n in found if d <= reach(min(len(n), len(word)))]
+            self.memo[word, slips] = [n for d, n in self.tree.within(word, slips) if d == slips <= reach(len(n))]
+        return self.memo[word, slips]
 
     def read(self, text: str | None) -> tuple[str | None, str | None, str | None, list[str]]:
         """(civility, office, group uid, name tokens) of a typed entry or label."""
@@ -165,16 +158,21 @@ class Register:
         civ, _, group, names = self.read(text)
         if not names or len(names) > 12:
             return 99, []
-        best, found = 99, set()
         n = len(names)
+        splits = []
         for k in range(n):
             for surname, first in ((names[k:], names[:k]), (names[: n - k], names[n - k :])) if k else ((names, []),):
                 word = squeeze("".join(surname))
                 if len(word) < 3 or len(word) > 60 or any(len(w) <= 2 and w.endswith(".") for w in surname):
                     continue  # too short, too long, or with an initial
-                for d, name in self.surnames(word):
-                    if d > best:
-                        continue
+                splits.append((word, first))
+        best, found = 99, set()
+        # Circles widen up to the full reach; those beyond the best total can neither beat nor equal it.
+        for d in range(reach(max((len(w) for w, _ in splits), default=0)) + 1):
+            if d > best:
+                break
+            for word, first in splits:
+                for name in self.surnames(word, d):
                     for i in self.by_name[name]:
                         uid, p_civ, p_first, p_group, _ = self.persons[i]
                         if (civ and p_civ and civ != p_civ) or (group and p_group != group):

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filament.llm import bktree, canonical, mixing, packing, splitting, turns
-from filament.llm.names import label_key, register_of
+from filament.llm.names import label_key, reach, register_of
 from filament.llm.queries import p1_found, p3_found, p6_found, p7_found, p8_found, p8_pieces
 from filament.llm.tokens import encoder
 from filament.runtime import table
@@ -79,6 +79,32 @@ def test_meant(text, uids):
     assert register_of(PEOPLE, GROUPS).meant(text) == uids
 
 
+def test_nearer_surname_does_not_hide_the_fitting_person(spark):
+    """All surnames within reach count, in one list and in shards; the fewest slips in all decide."""
+    people = [("v1", "M.", "Luc", "Martelvoine", None), ("v2", "Mme", "Héloïse", "Martalvaune", None), ("v3", "M.", "Luc", "Orbignasse", None)]
+    reg = register_of(people, [])
+    assert reg.scored("Héloïse Martelvoine") == (3, ["v2"]) and reg.scored("Mme Martelvoine") == (3, ["v2"]) and reg.scored("Martelvoine") == (0, ["v1"])
+    e = spark.createDataFrame([(1, "Héloïse Martelvoine"), (2, "Martelvoine"), (3, "M. Martalvaune")], "entry_id bigint, text string")
+    p = spark.createDataFrame(people, "uid string, civ string, prenom string, nom string, groupe_uid string")
+    o = spark.createDataFrame(GROUPS, "uid string, libelle string, libelle_abrege string")
+    for shards in (None, 5):
+        assert {r["entry_id"]: r["uids"] for r in canonical.match_entries(e, p, o, shards).collect()} == {1: ["v2"], 2: ["v1"], 3: ["v1"]}
+
+
+def test_widening_circles_against_all_surnames_in_reach():
+    rng = random.Random(7)
+    people = [(f"w{i}", rng.choice(["M.", "Mme"]), "Anne", "".join(rng.choices("abe", k=rng.randint(5, 10))), None) for i in range(60)]
+    reg = register_of(people, [])
+    far = 0
+    for _ in range(200):
+        civ, name = rng.choice(["M.", "Mme"]), "".join(rng.choices("abe", k=rng.randint(5, 10)))
+        near = {uid: d for uid, c, _, nom, _ in people if (d := plain(name, nom)) <= reach(min(len(name), len(nom))) and c == civ}
+        least = min(near.values(), default=99)
+        assert reg.scored(f"{civ} {name}") == (least, sorted(u for u, d in near.items() if d == least))
+        far += 99 > least > 1 + min(plain(name, p[3]) for p in people)
+    assert far
+
+
 def test_match_entries_edges(spark):
     e = spark.createDataFrame([(1, "M. Brisoquier", 3), (1, "M. Brisoquier", 4), (2, None, 0), (None, "x", 0), (3, "Lorvinet", 0)], "entry_id bigint, text string, uid int")
     people = spark.createDataFrame([(*p, "x") for p in PEOPLE], "uid string, civ string, prenom string, nom string, groupe_uid string, text string")
