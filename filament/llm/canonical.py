@@ -21,7 +21,7 @@ def _resolve(register: Register, batches: Iterator[pa.RecordBatch]) -> Iterator[
         got = []
         for t in texts.to_pylist():
             if t not in memo:
-                memo[t] = register.scored(t)
+                memo[t] = register.scored(t, notes=True)
             got.append(memo[t])
         yield pa.RecordBatch.from_arrays([ids, texts, pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.string()))], names=["entry_id", "text", "slips", "uids"])
 
@@ -34,7 +34,9 @@ def match_entries(entries: DataFrame, acteurs: DataFrame, organes: DataFrame, sh
     nothing, none means nobody listed (or an office, a blank, a null text). Copies of an entry count
     once; rows with a null entry_id are left out. The list is counted: up to ``SHARD_ENTRIES`` persons
     it is broadcast, beyond that it is hashed into shards that each entry visits, and per entry the
-    shards' winners merge. Texts of any length are read whole.
+    shards' winners merge. Texts of any length are read whole: in one of more than
+    12 name tokens, which holds a note besides, a name of up to 6 tokens with its first name or initial
+    is looked for everywhere.
     """
     spark = entries.sparkSession
     once = entries.where("entry_id is not null").groupBy("entry_id").agg(F.min("text").alias("text"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterator
 
 from filament.llm.bktree import BKTree, levenshtein
 
@@ -47,6 +48,12 @@ def squeeze(name: str) -> str:
     return re.sub(r"[^a-z]", "", name)
 
 
+#: The most slips that ``reach`` allows.
+MAX_SLIPS = 3
+#: An entry of more tokens than this holds a note besides a name; names in it have up to WINDOW_TOKENS.
+NAME_TOKENS, WINDOW_TOKENS = 12, 6
+
+
 def reach(length: int) -> int:
     """Slips allowed in a name of so many letters."""
     return 0 if length <= 2 else 1 if length <= 5 else 2 if length <= 8 else 3
@@ -72,7 +79,8 @@ class Register:
             if "-" in nom:
                 self.by_name[squeeze(fold(nom.split("-")[0]))].add(i)
         self.tree = BKTree(sorted(n for n in self.by_name if n))
-        self.firsts = {squeeze(p[2]) for p in self.persons if p[2]}
+        self.longest = max((len(n) for n in self.by_name), default=0)
+        self.longest_first = max((len(squeeze(p[2])) for p in self.persons), default=0)
         self.memo: dict[tuple[str, int], list[str]] = {}
 
     def surnames(self, word: str, slips: int) -> list[str]:
@@ -148,24 +156,47 @@ class Register:
         """The uids a typed name may mean: those that fit with the fewest slips."""
         return self.scored(text)[1]
 
-    def scored(self, text: str | None) -> tuple[int, list[str]]:
+    def _whole(self, names: list[str]) -> Iterator[tuple[str, list[str]]]:
+        """All readings of name tokens as (surname, tokens of the first name), of any length."""
+        sizes = [len(squeeze(w)) for w in names]
+        # Longer than any surname with any first name, all slips included: no person can fit.
+        if sum(sizes) > self.longest + self.longest_first + 2 * MAX_SLIPS:
+            return
+        n = len(names)
+        for k in range(n):
+            for surname, first in ((names[k:], names[:k]), (names[: n - k], names[n - k :])) if k else ((names, []),):
+                word = squeeze("".join(surname))
+                if len(word) < 3 or any(len(w) <= 2 and w.endswith(".") for w in surname):
+                    continue  # too short, or with an initial
+                yield word, first
+
+    def _windows(self, names: list[str]) -> Iterator[tuple[str, list[str]]]:
+        """The readings of every few tokens in a row that have a first name or an initial with a dot."""
+        seen: set[tuple[str, ...]] = set()
+        for i in range(len(names)):
+            for j in range(i + 2, min(i + WINDOW_TOKENS, len(names)) + 1):
+                if (window := tuple(names[i:j])) in seen:
+                    continue
+                seen.add(window)
+                for word, first in self._whole(list(window)):
+                    if first and any(len(squeeze(w)) > 1 or w.endswith(".") for w in first):
+                        yield word, first
+
+    def scored(self, text: str | None, notes: bool = False) -> tuple[int, list[str]]:
         """(slips, uids) of the persons a typed name fits best.
 
         One uid: it means that person. Several: it does not tell them apart. None: nobody listed.
         A first name or initial that is given must fit; civility and group tell persons apart, and
-        one that contradicts a person rules that person out.
+        one that contradicts a person rules that person out. A name may have any length. With ``notes``
+        a text of more than ``NAME_TOKENS`` tokens is taken to hold a note as well: the name may then
+        stand anywhere in it, but must have its first name or an initial with a dot beside it, since
+        a word alone may be part of the note.
         """
         civ, _, group, names = self.read(text)
-        if not names or len(names) > 12:
-            return 99, []
-        n = len(names)
-        splits = []
-        for k in range(n):
-            for surname, first in ((names[k:], names[:k]), (names[: n - k], names[n - k :])) if k else ((names, []),):
-                word = squeeze("".join(surname))
-                if len(word) < 3 or len(word) > 60 or any(len(w) <= 2 and w.endswith(".") for w in surname):
-                    continue  # too short, too long, or with an initial
-                splits.append((word, first))
+        names = [w for w in names if squeeze(w)]
+        splits = list(self._whole(names))
+        if notes and len(names) > NAME_TOKENS:
+            splits += self._windows(names)
         best, found = 99, set()
         # Circles widen up to the full reach; those beyond the best total can neither beat nor equal it.
         for d in range(reach(max((len(w) for w, _ in splits), default=0)) + 1):

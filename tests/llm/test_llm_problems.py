@@ -105,6 +105,21 @@ def test_widening_circles_against_all_surnames_in_reach():
     assert far
 
 
+def test_long_entries_and_long_names(spark):
+    note = "demande la parole sur le texte relatif aux transports collectifs dans les communes rurales"
+    long = " ".join(["Abelorin", "de", "la", "Coste"] + ["Vautrebois", "du", "Plessard", "et", "Montrevel"] * 2)
+    people = [*PEOPLE[:-1], ("u9", "Mme", "Rose", long, None)]
+    e = {1: f"Jean-Marc Brisoquier {note}", 2: f"{note} Lorvinet Adrien", 3: f"{note} pour L. Gortambel {note}", 4: f"Zacharie Lorvinet {note}", 5: f"Louis Gortambel {note} Jean-Marc Brisoquier", 6: note, 7: f"Rose {long}", 8: f"Mme {long}x", 9: "a " * 20_000, 10: "§ " * 20_000 + "Brisoquier", 11: "x" * 100_000}
+    want = {1: ["u1"], 2: ["u5"], 3: ["u6"], 4: [], 5: ["u1", "u6"], 6: [], 7: ["u9"], 8: ["u9"], 9: [], 10: ["u1"], 11: []}
+    df = spark.createDataFrame(list(e.items()), "entry_id bigint, text string")
+    p = spark.createDataFrame(people, "uid string, civ string, prenom string, nom string, groupe_uid string")
+    o = spark.createDataFrame(GROUPS, "uid string, libelle string, libelle_abrege string")
+    for shards in (None, 3):
+        assert {r["entry_id"]: r["uids"] for r in canonical.match_entries(df, p, o, shards).collect()} == want
+    # A label is no entry with a note: words around a name do not make it that person.
+    assert register_of(people, GROUPS).meant(e[1]) == []
+
+
 def test_match_entries_edges(spark):
     e = spark.createDataFrame([(1, "M. Brisoquier", 3), (1, "M. Brisoquier", 4), (2, None, 0), (None, "x", 0), (3, "Lorvinet", 0)], "entry_id bigint, text string, uid int")
     people = spark.createDataFrame([(*p, "x") for p in PEOPLE], "uid string, civ string, prenom string, nom string, groupe_uid string, text string")
