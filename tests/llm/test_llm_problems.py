@@ -214,6 +214,27 @@ def test_turns_across_ranges(spark, parts):
     assert got == sorted(brute_turns([r.asDict() for r in df.collect()]))
 
 
+@pytest.mark.parametrize("parts", ["2", "7", "40"])
+def test_gaps_across_ranges_are_decoded_whole(spark, parts):
+    """With a positive switch the speakers do not depend on the number of ranges."""
+    rng = random.Random(11)
+    words = {"#1": ["digue", "canal", "rivage", "taux"], "#2": ["impôt", "budget", "taux", "canal"], "#3": ["forêt", "chêne", "budget", "taux"]}
+    data = []
+    for i in range(500):
+        who, sitting = rng.choice(list(words)), rng.choice(["a", "a", None, "none"])
+        data.append((sitting, i, float(i // 2), who if sitting != "none" and rng.random() < 0.1 else None, " ".join(rng.choices(words[who], k=2))))
+    df = spark.createDataFrame(data, "sitting_uid string, seg_id bigint, beg double, key string, text string")
+    old, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("1", parts):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(((r[0] or "", r["key"] or "", r["first_seg_id"], r["last_seg_id"]) for r in turns.speaker_turns(df, 0.08).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got[0] == got[1]
+    assert {k for s, k, *_ in got[0] if s == "none"} == {""} and {k for s, k, *_ in got[0] if s != "none"} == set(words)
+
+
 @needs_data
 def test_p1_found(spark):
     t = lambda n: table(spark, DATA, n)
