@@ -78,7 +78,11 @@ def sensible(df: DataFrame) -> DataFrame:
     j AS (SELECT u.sitting_uid, u.seg_id, t.speaker, t.seg_id AS o, least(u.fin, t.fin) - greatest(u.beg, t.beg) AS ov FROM u JOIN t ON t.sitting_uid = u.sitting_uid AND t.beg < u.fin AND u.beg < t.fin),
     b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY sitting_uid, seg_id ORDER BY ov DESC, o) = 1) SELECT u.sitting_uid, u.seg_id, b.speaker, round(b.ov, 6) AS overlap FROM u LEFT JOIN b ON b.sitting_uid = u.sitting_uid AND b.seg_id = u.seg_id""")
 def overlap_argmax(spark, d):
-    """For each utterance the diarized piece it shares most time with."""
+    """For each utterance the diarized piece it shares most time with.
+
+    Diarized pieces are those whose label begins with SPEAKER, SPK, speaker or spk, as in the SQL. Other
+    number labels that problem 1 reads ("Speaker 0", "S1", "Locuteur 2") count as utterances here.
+    """
     p = sensible(pieces(spark, d))
     turn = F.coalesce(F.col("speaker").rlike(_NUM), F.lit(False))
     return best_overlap(p.where(~turn), p.where(turn), "sitting_uid", "seg_id", "speaker", "seg_id").withColumn("overlap", F.round("overlap", 6)).select("sitting_uid", "seg_id", "speaker", "overlap")
