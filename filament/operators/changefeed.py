@@ -5,13 +5,14 @@
 buckets into replacement files and commits a new manifest by an atomic rename, so readers always see
 one whole version and a lost job leaves the last version as it was.
 
-``supersession_changes`` finds the record each change of a log belongs to, where changes name the
-records they replace by sequence number.
+``SupersessionTable`` keeps the records of a log in such tables, where changes name the records they
+replace by sequence number.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from filament.runtime import durable, filesystem
 
-#: Rows of a log are resolved in blocks of 2**BLOCK_BITS consecutive sequence numbers.
+#: Links are resolved in blocks of 2**BLOCK_BITS consecutive sequence numbers.
 BLOCK_BITS = 16
 
 
@@ -97,20 +98,35 @@ class BucketedTable:
             if dirs:
                 base = self.spark.read.schema(self.schema).parquet(*dirs)
                 routed = self._merge(base, routed, payload, bucket)
-        where = f"data/v{version + 1:012d}"
+        # A folder of its own for every attempt: a writer that loses the race for the manifest touches no one's files.
+        where = f"data/v{version + 1:012d}-{uuid.uuid4().hex}"
         (
             routed.repartition(max(1, min(self.buckets, 4096)), "_bucket")
             .sortWithinPartitions("_bucket", *self.keys)
             .select(*[f.name for f in self.schema], "_bucket")
-            .write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/{where}")
+            .write.partitionBy("_bucket").parquet(f"{self.path}/{where}")
         )
         fs, p = filesystem(self.spark, f"{self.path}/{where}")
         new = {n.removeprefix("_bucket="): f"{where}/{n}" for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.startswith("_bucket=")}
         if not new:
+            fs.delete(p, True)
             return version
-        _commit(self.spark, f"{self.path}/_manifest", head | {"version": version + 1, "files": head["files"] | new})
+        try:
+            _commit(self.spark, f"{self.path}/_manifest", head | {"version": version + 1, "files": head["files"] | new})
+        except RuntimeError:
+            fs.delete(p, True)
+            raise
         return version + 1
 
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """The rows, tombstones included, of distinct ``keys``; only the buckets these fall into are read."""
+        head = self._read(self.version)
+        bucket = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(self.buckets)).cast("int")
+        touched = [r[0] for r in keys.select(bucket.alias("b")).distinct().collect()]  # at most one a bucket
+        dirs = [f"{self.path}/{head['files'][str(b)]}" for b in touched if str(b) in head["files"]]
+        rows = self.spark.read.schema(self.schema).parquet(*dirs) if dirs else self.spark.createDataFrame([], self.schema)
+        return rows.join(keys.select(*self.keys), self.keys, "left_semi")
+
     def _merge(self, base: DataFrame, changes: DataFrame, payload: list[str], bucket) -> DataFrame:
         b = base.select(*self.keys, F.struct(*payload).alias("_b"))
         c = changes.select(*self.keys, F.struct(*payload).alias("_c"))
@@ -127,7 +143,7 @@ def _commit(spark: SparkSession, folder: str, head: dict) -> None:
     fs, target = filesystem(spark, f"{folder}/{head['version']:012d}.json")
     if fs.exists(target):
         raise RuntimeError(f"version {head['version']} was committed by another writer")
-    _, temp = filesystem(spark, f"{folder}/_{head['version']:012d}.tmp")
+    _, temp = filesystem(spark, f"{folder}/_{head['version']:012d}-{uuid.uuid4().hex}.tmp")
     stream = fs.create(temp, True)
     stream.write(bytearray(json.dumps(head).encode()))
     stream.close()
@@ -154,45 +170,40 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lab
 
 
-_LOCAL = T.StructType([T.StructField("part", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("root", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("removed", T.IntegerType())])
+_LOCAL = T.StructType([T.StructField("part", T.StringType()), T.StructField("foreign", T.BooleanType()), T.StructField("node", T.LongType()), T.StructField("root", T.LongType())])
 
 
 def _resolve_block(tbl: pa.Table) -> pa.Table:
-    """One block: its components, and the ends of the links that leave or enter it."""
-    part = tbl.column("part")[0].as_py()
-    kind, seq = tbl.column("kind").to_numpy(), tbl.column("seq").to_numpy()
-    other = tbl.column("other").to_pandas().to_numpy(dtype=float, na_value=np.nan)
-    removed = tbl.column("removed").to_numpy()
-    here = kind < 2
-    ids, at = np.unique(seq[here], return_inverse=True)
-    gone = np.zeros(len(ids), np.int32)
-    np.maximum.at(gone, at, removed[here].astype(np.int32))
-
-    def place(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k = np.searchsorted(ids, x)
-        k[k == len(ids)] = 0
-        return k, (ids[k] == x) if len(ids) else np.zeros(len(x), bool)
-
-    inner = (kind == 0) & ~np.isnan(other)
-    a, _ = place(seq[inner]) if len(ids) else (np.zeros(0, int), None)
-    b, ok = place(other[inner].astype(np.int64)) if len(ids) else (np.zeros(0, int), np.zeros(0, bool))
-    lab = components(len(ids), a[ok], b[ok])
-    roots = np.unique(lab)
-    last = np.zeros(len(ids), np.int64)
-    np.maximum.at(last, lab, np.arange(len(ids)))
-    top = last[roots]
-    cols = [(np.zeros(len(roots), np.int32), ids[roots], ids[top], gone[top])]
-    out = np.unique(seq[kind == 1])
-    if len(out):
-        k, _ = place(out)
-        cols.append((np.ones(len(out), np.int32), ids[lab[k]], out, np.zeros(len(out), np.int32)))
-    probe = kind == 2
-    if probe.any() and len(ids):
-        k, ok = place(seq[probe])
-        origin = other[probe].astype(np.int64)[ok]
-        cols.append((np.full(len(origin), 2, np.int32), ids[lab[k[ok]]], origin, np.zeros(len(origin), np.int32)))
-    kinds, root, s, rem = (np.concatenate(c) for c in zip(*cols, strict=True))
-    return pa.table({"part": pa.array([part] * len(kinds), pa.string()), "kind": kinds, "root": root.astype(np.int64), "seq": s.astype(np.int64), "removed": rem.astype(np.int32)})
+    """The links of one block's later ends: roots of its nodes, and for every named node of another block the one root that it is tied to."""
+    a, b = (tbl.column(c).to_numpy() for c in ("a", "b"))
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    here = (ids >> BLOCK_BITS) == (a[0] >> BLOCK_BITS)
+    # Nodes of the block come first, so that the least of them stands for each component.
+    place = np.empty(len(ids), np.int64)
+    order = np.argsort(~here, kind="stable")
+    place[order] = np.arange(len(ids))
+    lab = components(len(ids), place[at[: len(a)]], place[at[len(a) :]])
+    root = ids[order][lab[place]]
+    return pa.table({"part": pa.array([tbl.column("part")[0].as_py()] * len(ids), pa.string()), "foreign": ~here, "node": ids, "root": root})
+
+
+def graph_components(edges: DataFrame) -> DataFrame:
+    """(part, node, root): the least member of each node's component, for (part, a, b) links of nodes.
+
+    A link is solved in the block of 2**16 numbers that its greater end lies in. There all nodes that
+    are tied to one node of another block meet, so of a node that a third of all links name one link a
+    block is left; only these are solved by stars. Nodes without a link give no row.
+    """
+    e = edges.selectExpr("part", "greatest(a, b) as a", "least(a, b) as b").where("a <> b").distinct()
+    local = durable(e.groupBy("part", F.shiftright("a", BLOCK_BITS).alias("blk")).applyInArrow(lambda key, tbl: _resolve_block(tbl), _LOCAL), "blocks")
+    own = local.where("not foreign").select("part", "node", "root")
+    tied = local.where("foreign").select("part", "node", F.col("root").alias("a"))
+    links = durable(tied.join(own, ["part", "node"], "left").select("part", "a", F.coalesce("root", "node").alias("b"), "node"), "links")
+    if not links.take(1):
+        return own
+    stars = star_components(links.select("part", "a", "b")).select("part", F.col("node").alias("root"), F.col("root").alias("top"))
+    every = own.union(links.select("part", "node", F.col("b").alias("root"))).distinct()
+    return every.join(stars, ["part", "root"], "left").select("part", "node", F.coalesce("top", "root").alias("root"))
 
 
 def star_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -220,65 +231,118 @@ def star_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.selectExpr("part", "u as node", "v as root")
 
 
-def supersession_changes(nodes: DataFrame, part: str = "sitting_uid", seq: str = "seq", supersedes: str = "supersedes", state: str = "state") -> DataFrame:
-    """(part, record, seq, _deleted): for every record of a log, changes that end with its last node.
+class SupersessionTable:
+    """The records of a log whose nodes name what they replace, fed batch by batch in any order.
 
     In rising ``seq`` a node replaces the records its ``supersedes`` names; a name stands for whatever
-    has replaced it since, and replacing a merged record replaces all of it. So a record is a
-    connected component of the naming links, named here by its least seq, and its last node decides:
-    state retracted (any case and spacing) removes it. Null names, names of the node itself or of
-    later nodes, repeats and names that never arrive have no effect. Rows with a null part or seq
-    can't be placed and are left out; repeated rows count once, and of rows that repeat a seq in
-    different states one retracted is enough. An empty log gives no rows.
-
-    Links inside a block of 2**16 seqs are resolved in the block; the few that cross blocks are sent
-    to the block of the name, and the contracted graph is solved by stars.
+    has replaced it since, and replacing a merged record replaces all of it. So a record is a connected
+    component of the naming links, named by its least seq, and its last node decides.
+
+    ``nodes`` is a bucketed table with one row a node: the record it was put into, and on the record's
+    own row the last node and whether that is retracted. A batch that joins two records changes one row,
+    the lesser's takes over and the other's becomes a tombstone that points to it, so record names
+    survive merges. ``pending`` holds the links to nodes that have not arrived; a late node finds the
+    links that name it there.
     """
-    s, names = F.col(f"`{seq}`").cast("bigint"), F.col(f"`{supersedes}`").cast("array<bigint>")
-    src = nodes.where(F.col(f"`{part}`").isNotNull() & F.col(f"`{seq}`").isNotNull()).select(
-        F.col(f"`{part}`").cast("string").alias("part"),
-        s.alias("seq"),
-        (F.lower(F.regexp_replace(F.col(f"`{state}`"), r"(?U)\s+", "")) == "retracted").cast("int").alias("removed"),
-        names.alias("names"),
-    )
-    src = src.withColumn("removed", F.coalesce("removed", F.lit(0)))
-    block = lambda x: F.shiftright(x, BLOCK_BITS)
-    none = F.lit(None).cast("bigint")
-
-    def row(at, other, kind, gone):
-        return F.struct(block(at).alias("blk"), at.alias("seq"), other.alias("other"), kind.cast("int").alias("kind"), gone.alias("removed"))
-
-    src = src.withColumn("names", F.filter(F.coalesce("names", F.array().cast("array<bigint>")), lambda x: x < F.col("seq")))
-    here = F.array(row(F.col("seq"), none, F.lit(0), F.col("removed")))
-    named = F.transform("names", lambda x: row(F.col("seq"), x, F.when(block(x) == block(F.col("seq")), 0).otherwise(1), F.col("removed")))
-    sent = F.transform(F.filter("names", lambda x: block(x) != block(F.col("seq"))), lambda x: row(x, F.col("seq"), F.lit(2), F.lit(0)))
-    rows = src.select("part", F.inline(F.concat(here, named, sent)))
-    rows = rows.groupBy("part", "blk", "seq", "other", "kind").agg(F.max("removed").alias("removed"))
-    local = durable(rows.groupBy("part", "blk").applyInArrow(lambda key, tbl: _resolve_block(tbl), _LOCAL), "blocks")
-    records = local.where("kind = 0").select("part", "root", "seq", "removed")
-    out = local.where("kind = 1").select("part", "seq", F.col("root").alias("a"))
-    into = local.where("kind = 2").select("part", "seq", F.col("root").alias("b"))
-    links = durable(into.join(out, ["part", "seq"]).select("part", "a", "b").where("a <> b").distinct(), "links")
-    if links.take(1):
-        roots = star_components(links).select("part", F.col("node").alias("root"), F.col("root").alias("record"))
-        records = records.join(roots, ["part", "root"], "left").withColumn("record", F.coalesce("record", "root"))
-    else:
-        records = records.withColumn("record", F.col("root"))
-    return records.select(F.col("part").alias(part), "record", F.col("seq").alias(seq), (F.col("removed") == 1).alias("_deleted"))
 
-
-def standing(nodes: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
-    """The records of a node log that stand at its end: (sitting_uid, record, seq).
-
-    The changes of the log are applied to an empty bucketed table at ``path``, whose last version is
-    read back.
+    def __init__(self, spark: SparkSession, path: str, buckets: int):
+        fields = lambda text: T.StructType([T.StructField(n, t) for n, t in text])
+        string, big = T.StringType(), T.LongType()
+        self.spark, self.path, self.batch = spark, path.rstrip("/"), 0
+        self.nodes = BucketedTable.create(spark, f"{self.path}/nodes", fields([("part", string), ("node", big), ("root", big), ("last", big), ("gone", T.BooleanType()), ("batch", big)]), ["part", "node"], "batch", buckets)
+        self.pending = BucketedTable.create(spark, f"{self.path}/pending", fields([("part", string), ("name", big), ("by", big), ("batch", big)]), ["part", "name", "by"], "batch", buckets)
+
+    def _find(self, keys: DataFrame) -> DataFrame:
+        """(part, node, root, head, last, gone) of the nodes among ``keys`` that have arrived; head is the record now."""
+        found = self.nodes.lookup(keys).select("part", "node", "root", F.col("root").alias("head"))
+        found = durable(found, "found")
+        for _ in range(self.batch + 1):
+            # A pointer may lead to a record that was joined to another since: follow it.
+            heads = self.nodes.lookup(found.select("part", F.col("head").alias("node")).distinct()).select("part", F.col("node").alias("head"), F.col("root").alias("next"), "last", "gone")
+            both = durable(found.join(heads, ["part", "head"]), "found")
+            if not both.where("next <> head").take(1):
+                return both.drop("next")
+            found = both.select("part", "node", "root", F.col("next").alias("head"))
+        raise RuntimeError("pointers do not end")
+
+    def apply(self, log: DataFrame) -> None:
+        """Applies (part, seq, gone, names) rows: a new version of both tables.
+
+        Rows with a null part or seq can't be placed and are left out. Null names, a node's own seq and
+        those of later nodes have no effect; names that never arrive stay pending. Repeats have no
+        effect; of rows that repeat a seq one that is gone is enough.
+        """
+        self.batch += 1
+        at = F.lit(self.batch).cast("bigint").alias("batch")
+        log = log.where("part is not null and seq is not null")
+        rows = durable(log.groupBy("part", F.col("seq").alias("node")).agg(F.max(F.coalesce("gone", F.lit(False))).alias("gone"), F.flatten(F.collect_set(F.filter(F.coalesce("names", F.array().cast("array<bigint>")), lambda x: x < F.col("seq")))).alias("names")), "batch")
+        links = rows.select("part", F.col("node").alias("by"), F.explode(F.array_distinct("names")).alias("name"), F.lit(False).alias("waited"))
+        if self.pending.version:
+            span = rows.agg(F.min("node"), F.max("node")).collect()[0]
+            if span[0] is not None:
+                # Files are in the order of names, so in a feed without late nodes nothing is read here.
+                waiting = self.pending.snapshot().where(F.col("name").between(span[0], span[1]))
+                links = links.union(waiting.join(rows.select("part", F.col("node").alias("name")), ["part", "name"], "left_semi").select("part", "by", "name", F.lit(True)))
+                links = durable(links.groupBy("part", "by", "name").agg(F.max("waited").alias("waited")), "named")
+        if self.nodes.version:
+            keys = rows.select("part", "node").union(links.select("part", "name")).union(links.select("part", "by")).distinct()
+            known = self._find(keys)
+        else:
+            known = self.spark.createDataFrame([], "part string, node bigint, root bigint, head bigint, last bigint, gone boolean")
+        # Where each node stands before this batch: its record, or itself if it is new.
+        new = rows.select("part", "node", "gone").join(known.select("part", "node"), ["part", "node"], "left_anti")
+        vertex = durable(known.select("part", "node", "head").union(new.select("part", "node", F.col("node").alias("head"))), "vertices")
+        ends = links.join(vertex.select("part", F.col("node").alias("name"), F.col("head").alias("b")), ["part", "name"], "left").join(vertex.select("part", F.col("node").alias("by"), F.col("head").alias("a")), ["part", "by"])
+        ends = durable(ends, "ends")
+        # A link waits while its name is missing; those that waited and are tied now leave.
+        self.pending.apply(ends.where("(b is null) <> waited").select("part", "name", "by", at, F.col("waited").alias("_deleted")))
+        roots = graph_components(ends.where("b is not null").select("part", "a", "b")).select("part", F.col("node").alias("head"), F.col("root").alias("top"))
+        # The last node of every record that the batch touches.
+        placed = vertex.join(durable(roots, "roots"), ["part", "head"], "left").withColumn("top", F.coalesce("top", "head"))
+        here = placed.join(rows.select("part", "node", "gone"), ["part", "node"], "left")
+        own = here.where("gone is not null").select("part", "top", F.struct(F.col("node").alias("last"), "gone").alias("m"), F.lit(False).alias("kept"))
+        before = known.select("part", "node", "last", F.col("gone").alias("was")).join(placed, ["part", "node"]).select("part", "top", F.struct("last", F.col("was").alias("gone")).alias("m"), (F.col("head") == F.col("top")).alias("kept"))
+        heads = own.union(before).groupBy("part", "top").agg(F.max("m").alias("m"), F.max(F.when(F.col("kept"), F.col("m"))).alias("o")).where("o is null or o <> m")
+        # Rows that point elsewhere now, new ones among them, and the joined records' own rows.
+        stale = known.select("part", "node", "root").union(known.select("part", F.col("head").alias("node"), F.col("head").alias("root"))).distinct()
+        moved = placed.select("part", "node", "top").union(placed.select("part", F.col("head").alias("node"), "top")).distinct()
+        moved = moved.join(stale, ["part", "node"], "left").where("node <> top and (root is null or root <> top)")
+        none = F.lit(None)
+        self.nodes.apply(
+            heads.select("part", F.col("top").alias("node"), F.col("top").alias("root"), "m.last", "m.gone", at, F.col("m.gone").alias("_deleted"))
+            .union(moved.select("part", "node", F.col("top").alias("root"), none.cast("bigint"), none.cast("boolean"), at, F.lit(True)))
+        )
+
+    def standing(self) -> DataFrame:
+        """(part, record, seq): the records that stand now, with their last node."""
+        return self.nodes.snapshot().select("part", F.col("node").alias("record"), F.col("last").alias("seq"))
+
+
+def standing(nodes: DataFrame, path: str, buckets: int | None = None, batches: int = 2, part: str = "sitting_uid", seq: str = "seq", supersedes: str = "supersedes", state: str = "state", arrival: str = "ord") -> DataFrame:
+    """The records of a node log that stand at its end: (part, record, seq).
+
+    The log is applied to a ``SupersessionTable`` at ``path`` as it arrived, in ``batches`` of about
+    equal size by ``arrival`` (without that column in one); the result does not depend on their number.
+    State retracted, in any case and spacing, removes a record. An empty log gives no rows.
     """
     spark = nodes.sparkSession
-    n = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    schema = T.StructType([T.StructField("sitting_uid", T.StringType()), T.StructField("record", T.LongType()), T.StructField("seq", T.LongType())])
-    tbl = BucketedTable.create(spark, path, schema, ["sitting_uid", "record"], "seq", n)
-    tbl.apply(supersession_changes(nodes))
-    return tbl.snapshot()
-
-
-__all__ = ["BLOCK_BITS", "BucketedTable", "components", "standing", "star_components", "supersession_changes"]
+    table = SupersessionTable(spark, path, buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    gone = F.lower(F.regexp_replace(F.col(f"`{state}`"), r"(?U)\s+", "")) == "retracted"
+    order = F.col(f"`{arrival}`") if arrival in nodes.columns else F.lit(None).cast("bigint")
+    log = nodes.select(F.col(f"`{part}`").cast("string").alias("part"), F.col(f"`{seq}`").cast("bigint").alias("seq"), gone.alias("gone"), F.col(f"`{supersedes}`").cast("array<bigint>").alias("names"), order.alias("arrival"))
+    cuts = []
+    if batches > 1 and arrival in nodes.columns:
+        cuts = sorted({x for x in log.agg(F.percentile_approx("arrival", [k / batches for k in range(1, batches)])).collect()[0][0] or []})
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        fits = F.lit(True)
+        if low is not None:
+            fits = F.col("arrival") > low
+        if high is not None:
+            fits = fits & (F.col("arrival") <= high)
+        if low is None and cuts:
+            fits = fits | F.col("arrival").isNull()
+        table.apply(log.where(fits))
+    return table.standing().withColumnRenamed("part", part)
+
+
+__all__ = ["BLOCK_BITS", "BucketedTable", "SupersessionTable", "components", "graph_components", "standing", "star_components"]

@@ -7,45 +7,109 @@ depth. ``entity`` joins object nodes with their scalar children and pivots these
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from collections.abc import Iterator, Sequence
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from filament.runtime import durable
 
-#: How often a document may be wrapped as a JSON string inside a JSON string.
-MAX_WRAPS = 8
+#: A path of more characters is written as a digest, so that deep documents do not grow quadratically.
+LONGEST_PATH = 500
+
+_OPEN = {"{": "}", "[": "]"}
+_SPACE = re.compile(r"[ \t\r\n]*")
+_ATOM = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity")
+
+
+def parse_deep(text: str):
+    """A JSON value of any depth, by a stack; ``ValueError`` where the text is not one."""
+    at, open_ = 0, []  # open_: container and name of what is not closed yet
+
+    def skip(i: int) -> int:
+        return _SPACE.match(text, i).end()
+
+    def key(i: int) -> tuple[str, int]:
+        i = skip(i)
+        if text[i : i + 1] != '"':
+            raise ValueError("a name is missing")
+        name, i = scanstring(text, i + 1, True)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("a colon is missing")
+        return name, i + 1
+
+    while True:
+        at = skip(at)
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            value, inner = {} if c == "{" else [], skip(at + 1)
+            if text[inner : inner + 1] != _OPEN[c]:
+                name, at = key(inner) if c == "{" else (None, inner)
+                open_.append([value, name])
+                continue
+            at = inner + 1
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif m := _ATOM.match(text, at):
+            value, at = json.loads(m.group()), m.end()
+        else:
+            raise ValueError("no value")
+        while open_:
+            holder, name = open_[-1]
+            if name is None:
+                holder.append(value)
+            else:
+                holder[name] = value
+            at = skip(at)
+            c = text[at : at + 1]
+            if c == ",":
+                if name is None:
+                    at += 1
+                else:
+                    open_[-1][1], at = key(at + 1)
+                break
+            if c != ("]" if name is None else "}"):
+                raise ValueError("a bracket is missing")
+            value, at = open_.pop()[0], at + 1
+        else:
+            if skip(at) != len(text):
+                raise ValueError("more text")
+            return value
+
 
-_OPEN = {"{": "}", "[": "]", '"': '"'}
+def _loads(text: str):
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return parse_deep(text)
 
 
 def decode(body: str | None):
     """The JSON value a body holds, or None if it holds none that is complete.
 
-    Byte order marks, white space, text around the document and wrapping as a JSON string are taken
-    off. A cut-off document stays cut off: its outermost bracket never closes.
+    Byte order marks, white space, text around the document and wrapping as a JSON string, however
+    often, are taken off. A cut-off document stays cut off: its outermost bracket never closes.
     """
     value = body
-    for _ in range(MAX_WRAPS):
-        if not isinstance(value, str):
-            return value
-        text = value.strip("﻿​\x00 \t\r\n\f\v\xa0")
+    while isinstance(value, str):  # each round takes off two signs at least
+        text = value.strip("\ufeff\u200b\x00 \t\r\n\f\v\xa0")
         try:
-            value = json.loads(text)
+            value = _loads(text)
         except ValueError:
             start = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
             end = text.rfind(_OPEN[text[start]]) if start >= 0 else -1
             if end <= start:
                 return None
             try:
-                value = json.loads(text[start : end + 1])
-            except (ValueError, RecursionError):
+                value = _loads(text[start : end + 1])
+            except ValueError:
                 return None
-        except RecursionError:
-            return None
-    return None if isinstance(value, str) else value
+    return value
 
 
 def documents(df: DataFrame, key: str, body: str) -> DataFrame:
@@ -68,6 +132,21 @@ def _scalar(v) -> str | None:
     return str(v)
 
 
+def _below(path: str, label: str) -> str:
+    """The path of a child; a long one goes on from its digest."""
+    if len(path) + len(label) <= LONGEST_PATH:
+        return f"{path}.{label}" if path else label
+    return "#" + hashlib.md5(f"{path}.{label}".encode()).hexdigest()
+
+
+def path_of(*labels: str) -> str:
+    """The path under which ``shred`` writes the objects below these labels."""
+    path = ""
+    for x in labels:
+        path = _below(path, x)
+    return path
+
+
 def _walk(value, keep: frozenset[str] | None) -> Iterator[tuple]:
     """(node, parent, path, label, ordinal, kind, scalar) in document order, without recursion.
 
@@ -90,7 +169,7 @@ def _walk(value, keep: frozenset[str] | None) -> Iterator[tuple]:
         elif isinstance(v, dict):
             node, n = n, n + 1
             yield node, parent, path, label, ordinal, "object", None
-            stack.extend((x, node, f"{path}.{k}" if path else k, k, 1) for k, x in reversed(v.items()))
+            stack.extend((x, node, _below(path, k), k, 1) for k, x in reversed(v.items()))
         elif keep is None or label in keep:
             node, n = n, n + 1
             yield node, parent, path, label, ordinal, "null" if v is None else "scalar", _scalar(v)
@@ -147,7 +226,7 @@ def entity(adjacency: DataFrame, path: str, fields: Sequence[str]) -> DataFrame:
     if not fields:
         return objects
     scalars = (
-        adjacency.where(F.col("path").isin([f"{path}.{f}" if path else f for f in fields]) & (F.col("kind") == "scalar"))
+        adjacency.where(F.col("path").isin([_below(path, f) for f in fields]) & (F.col("kind") == "scalar"))
         .groupBy("key", F.col("parent").alias("node"))
         .agg(*(F.min_by("scalar", F.when(F.col("label") == f, F.col("ordinal"))).alias(f) for f in fields))
     )

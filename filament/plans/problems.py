@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filament.operators.changefeed import standing
-from filament.operators.instants import tick_instants
+from filament.operators.instants import ANY_OFFSET, tick_instants
 from filament.operators.shredding import agenda_tables, documents, entity, link, shred
 from filament.plans.agenda import _FIELDS, _LINES
 from filament.runtime import durable, new_path, table
@@ -21,6 +21,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("key.snap_id", F.col("phase_no").cast("bigint").alias("phase_no"), F.col("ordinal").cast("bigint").alias("ligne_no"), uid.alias("ligne_amendement_uid")).where("ligne_amendement_uid <> ''").distinct()
 
 
+def p2_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    return agenda_tables(table(spark, d, "derouleur").select("snap_id", "body"))["snapshots"]
+
+
+def p2_damaged(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots none of whose bodies holds a complete document: what the other tables have no row of."""
+    snaps = table(spark, d, "derouleur").where("snap_id is not null")
+    whole = shred(documents(snaps, "snap_id", "body"), "doc", "body", []).where("node = 0").select("key.snap_id").distinct()
+    return snaps.select("snap_id").distinct().join(whole, "snap_id", "left_anti")
+
+
 def p2_phases(spark: SparkSession, d: str) -> DataFrame:
     return agenda_tables(table(spark, d, "derouleur").select("snap_id", "body"))["phases"]
 
@@ -39,16 +50,36 @@ def p4_how(spark: SparkSession, d: str) -> DataFrame:
     return tick_instants(table(spark, d, "capture_ticks"), table(spark, d, "sittings")).groupBy("agent", "how").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _unknown(spark: SparkSession, d: str) -> DataFrame:
+    out = tick_instants(table(spark, d, "capture_ticks"), table(spark, d, "sittings"), None, ANY_OFFSET)
+    return out.where("how in ('estimated', 'reference', 'none') and offset_min is not null")
+
+
+def p4_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks whose wall has no zone, as if nothing were known of it: the offset history decides alone."""
+    return _unknown(spark, d).select("tick_id", "utc_ms", "offset_min")
+
+
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many walls without a zone the history alone reads as the rules of their zone do."""
+    rules = tick_instants(table(spark, d, "capture_ticks"), table(spark, d, "sittings")).where("how in ('estimated', 'corrected')")
+    both = rules.select("tick_id", "utc_ms").join(p4_unknown(spark, d).select("tick_id", F.col("utc_ms").alias("alone")), "tick_id", "left")
+    n, right = F.count(F.lit(1)), F.count_if(F.col("utc_ms").eqNullSafe(F.col("alone")))
+    return both.agg(n.alias("n"), right.alias("agree"), F.round(right / n, 4).alias("recall"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that stand at the end of their sitting."""
     return standing(table(spark, d, "thread_nodes"), new_path(spark, "thread")).select("sitting_uid", "seq")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_phases, p2_lines, p4_found, p4_how, p5_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_snapshots, p2_phases, p2_lines, p2_damaged, p4_found, p4_how, p4_unknown, p4_recall, p5_found)}
 _EDGE = r"[\s\x{00A0}\x{2000}-\x{200B}\x{202F}\x{3000}\x{FEFF}]+"
 SQL = {
     "p2_found": f"WITH {_LINES}, t AS (SELECT snap_id, phase_no, ligne_no, regexp_replace(ligne_amendement_uid, '^{_EDGE}|{_EDGE}$', '', 'g') AS ligne_amendement_uid FROM lg) SELECT * FROM t WHERE ligne_amendement_uid <> ''",
     "p2_lines": f"WITH {_LINES} SELECT snap_id, phase_no, ligne_no, {', '.join(_FIELDS)} FROM lg",
+    "p2_snapshots": f"WITH {_LINES} SELECT DISTINCT snap_id, j ->> '$.racine.jaune.id' AS jaune_id, j ->> '$.racine.jaune.jaune_date_time' AS jaune_date_time, j ->> '$.racine.jaune.extract_date_time' AS extract_date_time FROM j1 WHERE json_type(j, '$.racine.jaune') = 'OBJECT'",
+    "p2_damaged": f"WITH {_LINES} SELECT snap_id FROM j1 GROUP BY snap_id HAVING NOT bool_or(coalesce(json_type(j) IN ('OBJECT', 'ARRAY'), false))",
     "p2_phases": f"WITH {_LINES} SELECT snap_id, phase_no, p ->> '$.phase_libelle' AS phase_libelle, p ->> '$.phase_type' AS phase_type FROM ph WHERE json_type(p) = 'OBJECT'",
     # The least seq that reaches a node by naming links, spread along them until nothing changes.
     "p5_found": """WITH RECURSIVE n AS (SELECT sitting_uid, seq, bool_or(regexp_replace(lower(state), '\\s+', '', 'g') = 'retracted') AS gone FROM thread_nodes GROUP BY ALL),
