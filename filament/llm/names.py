@@ -224,11 +224,12 @@ PLACEHOLDERS = {"", "null", "none", "nan", "nil", "na", "n/a", "inconnu", "incon
 _NUMBERED = re.compile(r"(?:speaker|spkr|spk|sp|s|locuteur|locutrice|loc|orateur|intervenant|voix)[\s_.#°n-]*0*([0-9]{1,6})|0*([0-9]{1,6})")
 
 
-def label_key(register: Register, label: str | None, strict: bool = False) -> str | None:
+def label_key(register: Register, label: str | None, strict: bool = False, uids: list[str] | None = None) -> str | None:
     """One key for all labels that name the same number, office or person; None: it names nobody.
 
     ``strict`` is for words that stand before a colon in a text: these are a label only if they are a
-    number label, an office, a listed person, or a civility with a name.
+    number label, an office, a listed person, or a civility with a name. ``uids`` are the persons that
+    the label may mean, where they have been looked up before.
     """
     text = fold(repair(label or "")).strip(" \t\r\n\xa0:.;,?!*<>-–—_\"'[]")
     if text in PLACEHOLDERS:
@@ -242,7 +243,7 @@ def label_key(register: Register, label: str | None, strict: bool = False) -> st
         if office and (not strict or len(text.split()) <= 5):
             return f"office:{office}"
         return None if strict else f"raw:{text}"
-    uids = register.meant(label)
+    uids = register.meant(label) if uids is None else uids
     if len(uids) == 1:
         return f"p:{uids[0]}"
     if uids:

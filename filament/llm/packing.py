@@ -1,9 +1,9 @@
 """Documents into containers of fixed capacity: shortest-pack-first histogram packing.
 
 Only the histogram of lengths, one row a length, reaches the driver. The packing is done on it:
-lengths longest first, each taken in by the packing patterns with room, whole counts at a time. The
-patterns come back as rank ranges per length, and documents join them by their rank among documents
-of their length.
+lengths longest first, each taken in by the shortest packing patterns with room, whole counts at a
+time. The patterns come back as rank ranges per length, whose number depends on the capacity, not on
+the data; a document finds its range by its rank among documents of its length.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import bisect
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
@@ -22,11 +23,11 @@ from filament.runtime import durable
 CAPACITY = 2048
 
 
-def pack_histogram(counts: dict[int, int], capacity: int, best_fit: bool = False) -> list[tuple[int, Counter]]:
+def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, Counter]]:
     """(how many containers, lengths in each) for a histogram of lengths 1..capacity.
 
-    Lengths are placed longest first. Each goes to the shortest packs that have room (``best_fit``: to
-    the fullest), splitting a pattern's count where fewer are needed. Deterministic.
+    Lengths are placed longest first. Each goes to the shortest packs that have room, splitting a
+    pattern's count where fewer are needed. Deterministic.
     """
     room: dict[int, list[tuple[int, Counter]]] = {}
     rooms: list[int] = []  # sorted keys of room
@@ -47,7 +48,7 @@ def pack_histogram(counts: dict[int, int], capacity: int, best_fit: bool = False
                 done.append((capacity - length, left, Counter({length: 1}))) if per == 1 else put(capacity - length, -(-left // per), Counter({length: 1}))
                 left -= left if per == 1 else -(-left // per)
                 continue
-            space = rooms[at] if best_fit else rooms[-1]
+            space = rooms[-1]
             n, pattern = room[space].pop()
             if not room[space]:
                 del room[space]
@@ -69,8 +70,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENI
     packed like any document. Documents of no tokens (empty or null text) take no room and are spread
     over the containers by rank; if there is nothing else they share one. Every row counts, repeated
     rows and null keys too; columns other than key and text are ignored. An empty table has no
-    containers. Of shortest-pack-first and best-fit packing of the histogram the one with fewer
-    containers is taken.
+    containers.
     """
     kind = documents.schema[key].dataType
 
@@ -101,21 +101,38 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENI
     counts = items.groupBy("pid", "length").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most capacity + 1 rows
-    empty = histogram.pop(0, 0)
-    packs = min((pack_histogram(histogram, capacity, b) for b in (False, True)), key=lambda p: sum(n for n, _ in p))
-    ranges, used, base = [], Counter(), 0
-    for n, pattern in packs:
+    held = spark.sparkContext.broadcast(places(histogram, capacity))  # a few ranges a length, whatever the number of documents
+    ranked = items.join(before.select("pid", "length", "before"), ["pid", "length"]).select("key", "part", "length", "whole", (F.col("local") + F.col("before")).alias("rank"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        for b in batches:
+            length, rank = b.column(2).to_numpy(), b.column(4).to_numpy()
+            box = np.empty(len(length), np.int64)
+            for x in np.unique(length):
+                start, base, n = table[int(x)]
+                here = np.flatnonzero(length == x)
+                at = np.searchsorted(start, rank[here], side="right") - 1
+                box[here] = base[at] + (rank[here] - start[at]) % n[at]
+            yield pa.RecordBatch.from_arrays([pa.array(box), b.column(0), b.column(1), b.column(2), b.column(3)], names=["container_id", key, "part", "length", "whole"])
+
+    return ranked.mapInArrow(place, f"container_id bigint, `{key}` {kind.simpleString()}, part int, length bigint, whole boolean")
+
+
+def places(histogram: dict[int, int], capacity: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per length the ranges of ranks: where each starts, the first container of its pattern, and how many these are."""
+    sizes = dict(histogram)
+    empty = sizes.pop(0, 0)
+    ranges: dict[int, list[tuple[int, int, int]]] = {}
+    used, base = Counter(), 0
+    for n, pattern in pack_histogram(sizes, capacity):
         for length, m in pattern.items():
-            ranges.append((length, used[length], used[length] + m * n, base, n))
+            ranges.setdefault(length, []).append((used[length], base, n))
             used[length] += m * n
         base += n
     if empty:
-        ranges.append((0, 0, empty, 0, max(base, 1)))
-    # One row per pattern and length in it: at most a few rows per length of the histogram.
-    places = spark.createDataFrame(ranges, "length bigint, start bigint, stop bigint, base bigint, n bigint")
-    ranked = items.join(before.select("pid", "length", "before"), ["pid", "length"]).withColumn("rank", F.col("local") + F.col("before"))
-    placed = ranked.join(F.broadcast(places) if len(ranges) < 1_000_000 else places, "length").where("rank >= start and rank < stop")
-    return placed.select((F.col("base") + (F.col("rank") - F.col("start")) % F.col("n")).alias("container_id"), F.col("key").alias(key), "part", "length", "whole")
+        ranges[0] = [(0, 0, max(base, 1))]
+    return {k: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for k, v in ranges.items()}
 
 
 def containers(placed: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:

@@ -8,21 +8,26 @@ from filament.llm import canonical, mixing, packing, splitting, turns
 from filament.runtime import table
 
 
-def _segments(spark: SparkSession, d: str, text: bool) -> DataFrame:
-    return turns.settle(turns.parse(table(spark, d, "segments"), table(spark, d, "acteurs"), table(spark, d, "organes"), table(spark, d, "hesitations"), text))
+def _segments(spark: SparkSession, d: str, text: bool = False, words: bool = False) -> DataFrame:
+    return turns.settle(turns.parse(table(spark, d, "segments"), table(spark, d, "acteurs"), table(spark, d, "organes"), table(spark, d, "hesitations"), text, words))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Turns by their first and last speech segment; the floor moves by labels only (switch 0)."""
-    return turns.speaker_turns(_segments(spark, d, False), switch=0.0).select("sitting_uid", "first_seg_id", "last_seg_id")
+    """Turns by their first and last speech segment; the floor moves by labels only."""
+    return turns.speaker_turns(_segments(spark, d)).select("sitting_uid", "first_seg_id", "last_seg_id")
 
 
 def p1_turns(spark: SparkSession, d: str) -> DataFrame:
-    """Turns with text and bounds, missing speakers inferred by profiles and transitions."""
-    out = turns.speaker_turns(_segments(spark, d, True), switch=0.08)
+    """Turns with text and bounds, missing speakers inferred by the hidden Markov model."""
+    out = turns.speaker_turns(_segments(spark, d, True, True), infer=True)
     return out.select("sitting_uid", F.col("key").alias("speaker"), F.array_join("texts", " ").alias("text"), "beg", "end")
 
 
+def p1_heldout(spark: SparkSession, d: str) -> DataFrame:
+    """Share of hidden labels that the model finds, and that carrying on finds."""
+    return turns.held_out(_segments(spark, d, words=True))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Entries that mean exactly one person."""
     return canonical.match_entries(table(spark, d, "inscrits"), table(spark, d, "acteurs"), table(spark, d, "organes")).where("size(uids) = 1").select("entry_id", F.col("uids")[0].alias("uid"))
@@ -64,5 +69,5 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p3_found, p3_unmatched, p6_found, p6_containers, p7_found, p7_shares, p7_mixture, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p1_heldout, p3_found, p3_unmatched, p6_found, p6_containers, p7_found, p7_shares, p7_mixture, p8_found, p8_pieces)}
 SQL: dict[str, str] = {}

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from filament.llm.tokens import TOKENIZER, encoder
 
@@ -86,7 +86,7 @@ def split(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, toke
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sizes = encoder(tokenizer)
         for b in batches:
-            at, signs, offsets = [], [], []
+            at, signs, offsets = [], [], []  # offsets in bytes
             for i, t in enumerate(b.column(1).to_pylist()):
                 ids = enc.encode_ordinary(t)
                 if len(ids) <= limit:
@@ -98,18 +98,31 @@ def split(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, toke
                 ends = before[stop]
                 at.append(i)
                 signs.append(boundary_signs(t, ends, begins[stop]))
-                offsets.append(ends.astype(np.int32))
+                offsets.append(stop.astype(np.int32))
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(signs, pa.string()), pa.array(offsets, pa.list_(pa.int32()))], names=["key", "text", "signs", "ends"])
 
     large = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") > limit)
     marked = large.mapInArrow(mark, f"key {kind}, text string, signs string, ends array<int>")
     sizes = F.transform(F.regexp_extract_all("signs", F.lit(piece_pattern(limit, overlap)), F.lit(0)), lambda s: F.length(s))
-    grow = F.aggregate("sizes", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    pieces = marked.withColumn("sizes", sizes).withColumn("cuts", grow).select("key", "text", "signs", "ends", "cuts", F.posexplode(F.slice("cuts", 2, F.size("cuts") - 1)).alias("piece_no", "last_token"))
-    near = F.element_at("cuts", F.col("piece_no") + 1) - overlap
-    back = F.length(F.regexp_extract(F.substring(F.col("signs"), near - _SLACK, F.lit(_SLACK + 1)), "x*$", 0))
-    pieces = pieces.withColumn("first_token", F.when(F.col("piece_no") == 0, 0).otherwise(near - back))
-    begin = F.when(F.col("first_token") == 0, 0).otherwise(F.try_element_at("ends", F.col("first_token")))
-    stop = F.element_at("ends", F.col("last_token"))
-    return pieces.select(F.col("key").alias(key), "piece_no", F.substring(F.col("text"), begin + 1, stop - begin).alias("text"), (F.col("last_token") - F.col("first_token")).alias("n_tokens"), "first_token", "last_token")
+    cut = marked.withColumn("sizes", sizes).withColumn("cuts", running("sizes"))
+    # All pieces of a text as one array, from the text's bytes, so that only pieces leave this step.
+    near = lambda i: F.get("cuts", i) - overlap
+    back = lambda i: F.length(F.regexp_extract(F.substring(F.col("signs"), near(i) - _SLACK, F.lit(_SLACK + 1)), "x*$", 0))
+    spans = F.transform(F.sequence(F.lit(0), F.size("sizes") - 1), lambda i: F.struct(i.alias("piece_no"), F.when(i == 0, 0).otherwise(near(i) - back(i)).alias("first_token"), F.get("cuts", i + 1).alias("last_token")))
+    cut = cut.withColumn("spans", spans).withColumn("raw", F.col("text").cast("binary"))
+    begin = lambda x: F.when(x["first_token"] == 0, 0).otherwise(F.get("ends", x["first_token"] - 1))
+    stop = lambda x: F.get("ends", x["last_token"] - 1)
+    pieces = F.transform("spans", lambda x: F.struct(x["piece_no"].alias("piece_no"), F.substring(F.col("raw"), begin(x) + 1, stop(x) - begin(x)).cast("string").alias("text"), (x["last_token"] - x["first_token"]).alias("n_tokens"), x["first_token"].alias("first_token"), x["last_token"].alias("last_token")))
+    # No text here has no pieces; as an outer one the generator gets no filter that would compute them twice.
+    return cut.select("key", pieces.alias("pieces")).select(F.col("key").alias(key), F.inline_outer("pieces"))
+
+
+def running(sizes: str, block: int = 256) -> Column:
+    """0 and the running sums of an array, in blocks, so that it costs n x block and not n x n."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda b: F.slice(sizes, b * block + 1, F.lit(block)))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    grow = lambda start, xs: F.aggregate(xs, F.array(start), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    starts = grow(F.lit(0), F.transform(blocks, total))
+    inner = F.transform(blocks, lambda xs, i: F.slice(grow(F.get(starts, i), xs), 2, F.size(xs)))
+    return F.concat(F.array(F.lit(0)), F.flatten(inner))
