@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 # Words and patterns of the rules.
@@ -19,13 +21,44 @@ STOP = ["m", "mme", "mlle", "monsieur", "madame", "mademoiselle", "le", "la", "l
 CIVILITY = r"^\s*(M\.|Mme|Mlle|Monsieur|Madame|Mademoiselle)\s+"
 LAST_VOWEL = r"(?i)[aeiouyàâäéèêëîïôöûü]([^aeiouyàâäéèêëîïôöûü\s]*)$"
 
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+LABEL_NUMBER = r"n[°o]\s*([0-9]+)"
+AMENDMENT = r"(?i)amendements?\b"
+SENTENCE_END = r"[.!?…]\s*$"
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Letters with marks and what is left of each when compatibility decomposition takes the marks off, by the rule."""
+    marked, plain = [], []
+    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x370, 0x530)]:
+        c = chr(code)
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if len(base) == 1 and base != c.lower():
+            marked.append(c)
+            plain.append(base)
+    return "".join(marked), "".join(plain)
+
+
+_MARKED, _PLAIN = _plain_letters()
+# Compatibility letters that stand for several.
+_SEVERAL = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "ǆ": "dz", "ǉ": "lj", "ǌ": "nj", "ǳ": "dz"}
+
+
+def sql_text(pattern: str) -> str:
+    """A pattern as the body of an SQL string."""
+    return pattern.replace("'", "''")
 
 
 def unaccent(c: Column) -> Column:
     """Lower case without the marks of Latin letters (precomposed or combining)."""
-    return F.regexp_replace(F.translate(F.lower(c), _MARKED, _PLAIN), r"\p{M}", "")
+    out = F.translate(F.lower(c), _MARKED, _PLAIN)
+    several = F.when(out.rlike("[" + "".join(_SEVERAL) + "]"), _each(out, _SEVERAL)).otherwise(out)
+    return F.regexp_replace(several, r"\p{M}", "")
+
+
+def _each(c: Column, table: dict[str, str]) -> Column:
+    for old, new in table.items():
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
 
 
 def normalize_name(c: Column) -> Column:
@@ -60,13 +93,30 @@ def speaker_call(text: Column, name: Column, previous: Column) -> Column:
     """strong, weak or none: whether a name that occurs in a text calls its bearer to speak."""
     at = F.instr(text, name)
     head, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(name), F.length(text))
-    open_end = ~F.rtrim(previous).rlike(r"[.!?…]\s*$") & (previous != "")
+    open_end = ~F.rtrim(previous).rlike(SENTENCE_END) & (previous != "")
     before = F.when((F.trim(head) == "") & F.coalesce(open_end, F.lit(False)), previous).otherwise(head)
     alone = (F.trim(F.element_at(F.split(before, "[.!?]", -1), -1)) == "") & (F.trim(F.split(after, "[.!?]", 2)[0]) == "")
-    call = F.when(after.rlike(CALL_AFTER), "strong").when(before.rlike(CALL_BEFORE), "strong").when(before.rlike(r"(?i)amendements?\b"), "strong").when(alone, "weak").otherwise("none")
+    call = F.when(after.rlike(CALL_AFTER), "strong").when(before.rlike(CALL_BEFORE), "strong").when(before.rlike(AMENDMENT), "strong").when(alone, "weak").otherwise("none")
     return F.when(at > 0, call).otherwise("none")
 
 
+def label_number(c: Column) -> Column:
+    """The amendment number in a line's label; null without one."""
+    return F.nullif(F.regexp_extract(c, LABEL_NUMBER, 1), F.lit(""))
+
+
+#: Routes by the first pattern that a path matches, and whether what they show is gated by the clock.
+ROUTES = [(r"^/derouleur\.json$", "derouleur", True), (r"^/(?:prochainADiscuter|amendement)\.do$", "eliasse", True), (r"^/referential/[^/]+\.json$", "referential", False), (r"^/ground-truth/timeline$", "timeline", False), (r"^/ground-truth/tree$", "tree", False), (r"^/ground-truth/.+$", "ground-truth", False)]
+
+
+def route(path: Column) -> Column:
+    """(name, causal) of the route a path takes; null for none (404)."""
+    out = F
+    for pattern, name, causal in ROUTES:
+        out = out.when(path.rlike(pattern), F.struct(F.lit(name).alias("name"), F.lit(causal).alias("causal")))
+    return out
+
+
 def strip_civility(c: Column) -> Column:
     return F.regexp_replace(c, CIVILITY, "")
 

@@ -18,18 +18,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from filament.runtime import durable
 
 
-def scan(df: DataFrame, part: Sequence[str], order: Sequence[str], lag: Mapping[str, Column] | None = None, last: Mapping[str, Column] | None = None, total: Mapping[str, Column] | None = None) -> DataFrame:
+def scan(df: DataFrame, part: Sequence[str], order: Sequence[str], lag: Mapping[str, Column] | None = None, last: Mapping[str, Column] | None = None, total: Mapping[str, Column] | None = None, peak: Mapping[str, Column] | None = None) -> DataFrame:
     """Adds columns over the rows before a row in its group, in the order of ``order``.
 
     ``lag``: the value in the row just before (null in the first row). ``last``: the last value before
     the row that is not null. ``total``: the sum over the rows before the row, nulls as 0 (0 in the
-    first row). The order must be total in a group; of rows that tie the sequence is arbitrary. Null
+    first row). ``peak``: the greatest value before the row (null if there is none). The order must be total in a group; of rows that tie the sequence is arbitrary. Null
     groups are a group, null order values come first. An empty table stays empty.
     """
-    lag, last, total = dict(lag or {}), dict(last or {}), dict(total or {})
+    lag, last, total, peak = dict(lag or {}), dict(last or {}), dict(total or {}), dict(peak or {})
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    helpers = [c.alias(f"_lag_{k}") for k, c in lag.items()] + [c.alias(f"_last_{k}") for k, c in last.items()] + [F.coalesce(c.cast("bigint"), F.lit(0)).alias(f"_sum_{k}") for k, c in total.items()]
+    helpers = [c.alias(f"_lag_{k}") for k, c in lag.items()] + [c.alias(f"_last_{k}") for k, c in last.items()] + [F.coalesce(c.cast("bigint"), F.lit(0)).alias(f"_sum_{k}") for k, c in total.items()] + [c.alias(f"_max_{k}") for k, c in peak.items()]
     rows = df.select("*", *helpers).repartitionByRange(n, *part, *order).withColumn("_rid", F.spark_partition_id())
     rows = durable(rows, "ranges")
     inside = Window.partitionBy(*part, "_rid").orderBy(*order)
@@ -41,6 +41,7 @@ def scan(df: DataFrame, part: Sequence[str], order: Sequence[str], lag: Mapping[
         *[F.max_by(F.struct(F.col(f"_lag_{k}").alias("v")), at).alias(f"_e_{k}") for k in lag],
         *[F.max_by(f"_last_{k}", F.when(F.col(f"_last_{k}").isNotNull(), at)).alias(f"_e_{k}") for k in last],
         *[F.sum(f"_sum_{k}").alias(f"_e_{k}") for k in total],
+        *[F.max(f"_max_{k}").alias(f"_e_{k}") for k in peak],
     )
     across = Window.partitionBy(*part).orderBy("_rid")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -50,6 +51,7 @@ def scan(df: DataFrame, part: Sequence[str], order: Sequence[str], lag: Mapping[
         *[F.lag(f"_e_{k}").over(across).alias(f"_c_{k}") for k in lag],
         *[F.last(f"_e_{k}", ignorenulls=True).over(before).alias(f"_c_{k}") for k in last],
         *[F.coalesce(F.sum(f"_e_{k}").over(before), F.lit(0)).alias(f"_c_{k}") for k in total],
+        *[F.max(f"_e_{k}").over(before).alias(f"_c_{k}") for k in peak],
     )
     carry = carry.toDF(*carry.columns)
     first = F.row_number().over(inside) == 1
@@ -59,6 +61,7 @@ def scan(df: DataFrame, part: Sequence[str], order: Sequence[str], lag: Mapping[
         *[F.lag(f"_lag_{k}").over(inside).alias(f"_l_{k}") for k in lag],
         *[F.last(f"_last_{k}", ignorenulls=True).over(past).alias(f"_l_{k}") for k in last],
         *[F.coalesce(F.sum(f"_sum_{k}").over(past), F.lit(0)).alias(f"_l_{k}") for k in total],
+        *[F.max(f"_max_{k}").over(past).alias(f"_l_{k}") for k in peak],
     )
     on = [F.col("_rid") == F.col("_r")] + [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(part)]
     both = local.join(carry, on, "left")
@@ -67,6 +70,7 @@ def scan(df: DataFrame, part: Sequence[str], order: Sequence[str], lag: Mapping[
         *[F.when(F.col("_first"), F.col(f"_c_{k}")["v"]).otherwise(F.col(f"_l_{k}")).alias(k) for k in lag],
         *[F.coalesce(f"_l_{k}", f"_c_{k}").alias(k) for k in last],
         *[(F.col(f"_l_{k}") + F.col(f"_c_{k}")).alias(k) for k in total],
+        *[F.greatest(f"_l_{k}", f"_c_{k}").alias(k) for k in peak],
     )
 
 

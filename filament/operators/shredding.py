@@ -82,7 +82,8 @@ def parse_deep(text: str):
             return value
 
 
-def _loads(text: str):
+def loads(text: str):
+    """A JSON value of any depth."""
     try:
         return json.loads(text)
     except RecursionError:
@@ -99,14 +100,14 @@ def decode(body: str | None):
     while isinstance(value, str):  # each round takes off two signs at least
         text = value.strip("\ufeff\u200b\x00 \t\r\n\f\v\xa0")
         try:
-            value = _loads(text)
+            value = loads(text)
         except ValueError:
             start = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
             end = text.rfind(_OPEN[text[start]]) if start >= 0 else -1
             if end <= start:
                 return None
             try:
-                value = _loads(text[start : end + 1])
+                value = loads(text[start : end + 1])
             except ValueError:
                 return None
     return value

@@ -9,7 +9,7 @@ from filament.operators.ranges import scan
 from filament.operators.shredding import LINE_FIELDS, agenda_tables
 from filament.plans import registry
 from filament.plans.text import _UTT, utterances
-from filament.plans.thread import _BALLOT, _NUMS, _TICKS, ticks_of
+from filament.plans.thread import _NUMS, _TICKS, ticks_of
 from filament.runtime import durable, table
 
 QUERIES, SQL, query = registry()
@@ -121,18 +121,6 @@ def agenda_asof(spark, d):
     return s.where("probe = 1").join(on, ["sitting_uid", "num"], "left_semi").select("sitting_uid", "seq", "num", (F.col("seen") > 0).alias("known"), "seen")
 
 
-@query(f"""WITH {_AGENDA}, {_HEARD}, m AS (SELECT h.sitting_uid, ord, arg_max(uid, place) AS uid FROM hn h JOIN ag ON ag.sitting_uid = h.sitting_uid AND ag.num = h.num GROUP BY ALL),
-    e AS (SELECT u.sitting_uid, u.ord, {_BALLOT} AS event, m.uid FROM u LEFT JOIN m ON m.sitting_uid = u.sitting_uid AND m.ord = u.ord),
-    c AS (SELECT sitting_uid, ord, event, last_value(uid IGNORE NULLS) OVER (PARTITION BY sitting_uid ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS amendement_uid FROM e)
-    SELECT * FROM c""")
-def ballot_context(spark, d):
-    """The amendment on hand at every utterance, ballots among them: the last one heard that is on the agenda."""
-    hit = heard_numbers(spark, d).join(agenda_of(spark, d), ["sitting_uid", "num"]).groupBy("sitting_uid", "ord").agg(F.max_by("uid", "pos").alias("uid"))
-    u = utterances(spark, d).select("sitting_uid", "ord", T.ballot_event(F.col("text")).alias("event")).join(hit, ["sitting_uid", "ord"], "left")
-    s = scan(u, ["sitting_uid"], ["ord"], last={"prior": F.col("uid")})
-    return s.select("sitting_uid", "ord", "event", F.coalesce("uid", "prior").alias("amendement_uid"))
-
-
 @query(f"WITH {_AGENDA}, {_HEARD} SELECT h.sitting_uid, uid, min(ord) AS ord FROM hn h JOIN ag ON ag.sitting_uid = h.sitting_uid AND ag.num = h.num GROUP BY ALL")
 def first_occurrence(spark, d):
     """Where each amendment is woven: the first utterance that names it."""
@@ -173,16 +161,39 @@ def highlight_transitions(spark, d):
 
 
 @query(f"""WITH {_LINES}, pt AS (SELECT snap_id, phase_no, p ->> '$.phase_libelle' AS libelle FROM ph WHERE json_type(p) = 'OBJECT'), c AS (SELECT snap_id, count(*) AS n, count(*) FILTER (WHERE ligne_video_highlighted = 'true') AS lit, count(*) FILTER (WHERE ligne_type = 'INSCRITQAG') AS qag, max(phase_no) FILTER (WHERE ligne_video_highlighted = 'true') AS hp FROM lg GROUP BY snap_id),
-    x AS (SELECT snap_id, max(phase_no) AS lp FROM pt GROUP BY snap_id)
-    SELECT x.snap_id, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(lit, 0) AS BIGINT) AS highlighted, CAST(coalesce(qag, 0) AS BIGINT) AS qag, coalesce(pt.libelle, '') AS phase FROM x LEFT JOIN c ON c.snap_id = x.snap_id LEFT JOIN pt ON pt.snap_id = x.snap_id AND pt.phase_no = coalesce(c.hp, x.lp)""")
+    x AS (SELECT snap_id, max(phase_no) AS lp FROM pt GROUP BY snap_id), ty AS (SELECT snap_id, string_agg(t || ':' || n, ',' ORDER BY t) AS types FROM (SELECT snap_id, coalesce(ligne_type, '?') AS t, count(*) AS n FROM lg GROUP BY ALL) q GROUP BY snap_id)
+    SELECT x.snap_id, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(lit, 0) AS BIGINT) AS highlighted, CAST(coalesce(qag, 0) AS BIGINT) AS qag, coalesce(pt.libelle, '') AS phase, coalesce(types, '') AS types FROM x LEFT JOIN ty ON ty.snap_id = x.snap_id LEFT JOIN c ON c.snap_id = x.snap_id LEFT JOIN pt ON pt.snap_id = x.snap_id AND pt.phase_no = coalesce(c.hp, x.lp)""")
 def snapshot_summary(spark, d):
-    """Lines, highlights, questions and the active phase: the last one with a highlight, else the last."""
+    """Lines, highlights, questions, lines by type, and the active phase: the last one with a highlight, else the last."""
     lines, phases = tables_of(spark, d, "ligne_video_highlighted", "ligne_type")
     lit = F.col("ligne_video_highlighted") == "true"
     c = lines.groupBy("snap_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(lit).alias("highlighted"), F.count_if(F.col("ligne_type") == "INSCRITQAG").alias("qag"), F.max(F.when(lit, F.col("phase_no"))).alias("hp"))
     last = phases.groupBy("snap_id").agg(F.max("phase_no").alias("lp"))
     at = last.join(c, "snap_id", "left").withColumn("phase_no", F.coalesce("hp", "lp"))
-    return at.join(phases.select("snap_id", "phase_no", "phase_libelle"), ["snap_id", "phase_no"], "left").select("snap_id", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("n", "highlighted", "qag")], F.coalesce("phase_libelle", F.lit("")).alias("phase"))
+    typed = lines.groupBy("snap_id", F.coalesce("ligne_type", F.lit("?")).alias("t")).agg(F.count(F.lit(1)).alias("k"))
+    types = typed.groupBy("snap_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("t", "k")))).alias("types"))  # one entry a type
+    shown = F.array_join(F.transform(F.map_entries("types"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    at = at.join(phases.select("snap_id", "phase_no", "phase_libelle"), ["snap_id", "phase_no"], "left").join(types, "snap_id", "left")
+    return at.select("snap_id", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("n", "highlighted", "qag")], F.coalesce("phase_libelle", F.lit("")).alias("phase"), F.coalesce(shown, F.lit("")).alias("types"))
+
+
+@query(f"WITH {_LINES} SELECT snap_id, phase_no, ligne_no, nullif(regexp_extract(ligne_libelle_1, '{T.LABEL_NUMBER}', 1), '') AS num FROM lg WHERE regexp_matches(ligne_libelle_1, '{T.LABEL_NUMBER}')")
+def label_number(spark, d):
+    """The amendment number in a line's label."""
+    return lines_of(spark, d, "ligne_libelle_1").select("snap_id", "phase_no", "ligne_no", T.label_number(F.col("ligne_libelle_1")).alias("num")).where("num is not null")
+
+
+#: Keys of one request to a reference interface.
+BATCH = 20
+
+
+@query(f"""WITH k AS (SELECT DISTINCT canonical.acteur AS uid FROM thread_nodes WHERE canonical.acteur IS NOT NULL), r AS (SELECT uid, row_number() OVER (ORDER BY uid) - 1 AS place FROM k)
+    SELECT CAST(place // {BATCH} AS BIGINT) AS batch, r.uid, CAST(place AS BIGINT) AS place, a.prenom, a.nom FROM r LEFT JOIN acteurs a ON a.uid = r.uid""")
+def keyed_batches(spark, d):
+    """Keys in batches of one request, with what the reference holds of each, in the order asked for."""
+    k = table(spark, d, "thread_nodes").select(F.col("canonical.acteur").alias("uid")).where("uid is not null").distinct().withColumn("g", F.lit(0))
+    r = scan(k, ["g"], ["uid"], total={"place": F.lit(1)})
+    return r.join(table(spark, d, "acteurs").select("uid", "prenom", "nom"), "uid", "left").select(F.floor(F.col("place") / BATCH).alias("batch"), "uid", "place", "prenom", "nom")
 
 
 @query(f"""WITH {_LINES}, c AS (SELECT snap_id, phase_no, count(*) AS n, bool_or(coalesce(starts_with(ligne_type, 'NEXTSEANCE'), false)) AS nxt, bool_or(coalesce(ligne_type IN ('ADT', 'ARTICLE', 'SSADT'), false)) AS work FROM lg GROUP BY ALL),

@@ -12,7 +12,7 @@ from filament.runtime import table
 
 QUERIES, SQL, query = registry()
 
-SILENCE, SUSTAIN_S, DENSITY, COOLDOWN_S, BOUNDARY_WINDOW_S, MIN_TURN_S, LONGEST_S = 0.2, 60.0, 0.5, 3.0, 600.0, 1.0, 60.0
+SILENCE, SUSTAIN_S, DENSITY, COOLDOWN_S, BOUNDARY_WINDOW_S, MIN_TURN_S = 0.2, 60.0, 0.5, 3.0, 600.0, 1.0
 
 _TREE = """tree AS (SELECT 'r' || r_regionkey AS id, CAST(NULL AS VARCHAR) AS parent, CAST(r_regionkey AS BIGINT) AS ord, r_name AS label FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_custkey, c_name FROM customer),
     w AS (SELECT id, parent, 0 AS depth, [ord] AS path, [id] AS chain FROM tree WHERE parent IS NULL UNION ALL SELECT t.id, t.parent, w.depth + 1, list_append(w.path, t.ord), list_append(w.chain, t.id) FROM tree t JOIN w ON t.parent = w.id)"""
@@ -44,6 +44,13 @@ def tree_summary(spark, d):
     return n.join(c, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("r_name").alias("region")).agg(F.count(F.lit(1)).alias("chapters"), F.sum("k").alias("leaves"), F.max("m").alias("m")).select("region", "chapters", "leaves", F.col("m.c_name").alias("last_leaf"))
 
 
+@query(f"WITH RECURSIVE {_TREE}, t AS (SELECT 'n' || s_nationkey AS id, arg_max(CAST(round(s_acctbal * 100) AS BIGINT), s_suppkey) AS t_ms FROM supplier GROUP BY ALL) SELECT w.id, array_to_string(w.path, '.') AS path, t.t_ms FROM w LEFT JOIN t ON t.id = w.id")
+def chapter_times(spark, d):
+    """Every chapter with its place in the tree and the time of its last synchro, null where it has none."""
+    last = table(spark, d, "supplier").groupBy(F.concat(F.lit("n"), "s_nationkey").alias("id")).agg(F.max_by(F.round(F.col("s_acctbal") * 100).cast("bigint"), "s_suppkey").alias("t_ms"))
+    return walk(chapters(spark, d)).select("id", F.array_join("path", ".").alias("path")).join(last, "id", "left")
+
+
 @query("SELECT n_nationkey AS chapter, n_name AS label, nullif(r_name, '') AS speaker, s_suppkey AS synchro, CAST(round(s_acctbal * 100) AS BIGINT) AS t FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
 def timeline_join(spark, d):
     """One row per synchro with its chapter and that chapter's speaker; a consumer orders by (t, synchro)."""
@@ -60,8 +67,9 @@ def dominant_frame(spark, d):
 
 
 _SEG = f"s AS (SELECT seg_id, any_value(sitting_uid) AS sitting_uid, any_value(speaker) AS speaker, any_value(beg) AS beg, any_value(\"end\") AS fin FROM segments WHERE type = 'utterance' AND beg IS NOT NULL GROUP BY seg_id)"
-_OK = f"fin > beg AND fin - beg <= {LONGEST_S}"
-_NUM = "^(SPEAKER|SPK|speaker|spk)"
+_OK = "fin > beg"
+#: Diarized pieces: those whose label is a number label in any of its spellings.
+_NUM = r"(?i)^\s*(?:speaker|spkr|spk|sp|s|locuteur|locutrice|loc|orateur|intervenant|voix)[\s_.#°n-]*[0-9]+[\s:.]*$"
 
 
 def pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -70,19 +78,15 @@ def pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sensible(df: DataFrame) -> DataFrame:
-    """Those whose end lies after their begin, by a minute at most."""
-    return df.where((F.col("end") > F.col("beg")) & (F.col("end") - F.col("beg") <= LONGEST_S))
+    """Those whose end lies after their begin."""
+    return df.where(F.col("end") > F.col("beg"))
 
 
 @query(f"""WITH {_SEG}, u AS (SELECT * FROM s WHERE {_OK} AND NOT coalesce(regexp_matches(speaker, '{_NUM}'), false)), t AS (SELECT * FROM s WHERE {_OK} AND regexp_matches(speaker, '{_NUM}')),
     j AS (SELECT u.sitting_uid, u.seg_id, t.speaker, t.seg_id AS o, least(u.fin, t.fin) - greatest(u.beg, t.beg) AS ov FROM u JOIN t ON t.sitting_uid = u.sitting_uid AND t.beg < u.fin AND u.beg < t.fin),
     b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY sitting_uid, seg_id ORDER BY ov DESC, o) = 1) SELECT u.sitting_uid, u.seg_id, b.speaker, round(b.ov, 6) AS overlap FROM u LEFT JOIN b ON b.sitting_uid = u.sitting_uid AND b.seg_id = u.seg_id""")
 def overlap_argmax(spark, d):
-    """For each utterance the diarized piece it shares most time with.
-
-    Diarized pieces are those whose label begins with SPEAKER, SPK, speaker or spk, as in the SQL. Other
-    number labels that problem 1 reads ("Speaker 0", "S1", "Locuteur 2") count as utterances here.
-    """
+    """For each utterance the diarized piece, one with a number label, that it shares most time with."""
     p = sensible(pieces(spark, d))
     turn = F.coalesce(F.col("speaker").rlike(_NUM), F.lit(False))
     return best_overlap(p.where(~turn), p.where(turn), "sitting_uid", "seg_id", "speaker", "seg_id").withColumn("overlap", F.round("overlap", 6)).select("sitting_uid", "seg_id", "speaker", "overlap")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from filament.functions import text as T
+from filament.operators.changefeed import standing
 from filament.operators.ranges import scan
+from filament.operators.shredding import loads
 from filament.plans import registry
 from filament.runtime import new_path, table
 
@@ -47,20 +52,9 @@ def interim_distinct(spark, d):
     return scan(i, ["sitting_uid"], ["ord"], lag={"b": F.col("text")}).where("b is null or b <> text").select("sitting_uid", "ord", "text")
 
 
-_NUMS = r"""CASE WHEN regexp_matches(text, '(?i)amendement|scrutin|voi[xe]') THEN list_distinct(list_transform(list_filter(regexp_extract_all(text, '\b([0-9]{1,4})\b', 1), lambda x: NOT list_contains(regexp_extract_all(text, '(?i)article\s+([0-9]{1,4})', 1), x)), lambda x: CAST(x AS INTEGER))) ELSE [] END"""
-_BALLOT = r"""CASE WHEN regexp_matches(text, '(?i)scrutin\s+est\s+ouvert') THEN 'open' WHEN regexp_matches(text, '(?i)(?:est|sont)\s+rejeté|n[e''’]\s*(?:est|sont)\s+pas\s+adopté') THEN 'rejected'
-    WHEN regexp_matches(text, '(?i)(?:est|sont)\s+adoptés?') THEN 'adopted' WHEN regexp_matches(text, '(?i)met(?:s|tre)?\s+aux?\s+voi[xe]') THEN 'vote' END"""
-
-
-@query(f"""WITH {_EV}, u AS (SELECT sitting_uid, ord, CAST(1 + len({_NUMS}) + (CASE WHEN {_BALLOT} IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS n FROM ev WHERE type = 'utterance' AND text IS NOT NULL),
-    s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY sitting_uid ORDER BY ord) - n AS BIGINT) AS base FROM u)
-    SELECT sitting_uid, ord, CAST(i AS BIGINT) AS pos, base + i AS seq FROM s, unnest(range(0, n)) AS t(i)""")
-def shared_seq(spark, d):
-    """One sequence for an utterance and the nodes deduced from it: amendments in text order, then the ballot."""
-    u = events_of(spark, d).where("type = 'utterance' and text is not null")
-    n = 1 + F.size(T.amendment_numbers(F.col("text"))) + F.when(T.ballot_event(F.col("text")).isNull(), 0).otherwise(1)
-    s = scan(u.select("sitting_uid", "ord", n.cast("bigint").alias("n")), ["sitting_uid"], ["ord"], total={"base": F.col("n")})
-    return s.select("sitting_uid", "ord", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("pos"), "base").select("sitting_uid", "ord", "pos", (F.col("base") + F.col("pos")).alias("seq"))
+# The SQL of the text rules is made of the same fixed patterns as the columns.
+_NUMS = f"CASE WHEN regexp_matches(text, '{T.sql_text(T.TRIGGER)}') THEN list_distinct(list_transform(list_filter(regexp_extract_all(text, '{T.NUMBER}', 1), lambda x: NOT list_contains(regexp_extract_all(text, '{T.ARTICLE}', 1), x)), lambda x: CAST(x AS INTEGER))) ELSE [] END"
+_BALLOT = "CASE " + " ".join(f"WHEN regexp_matches(text, '{T.sql_text(p)}') THEN '{n}'" for n, p in (("open", T.BALLOT_OPEN), ("rejected", T.BALLOT_REJECTED), ("adopted", T.BALLOT_ADOPTED), ("vote", T.BALLOT_VOTE))) + " END"
 
 
 @query("SELECT sitting_uid, CAST(max(seq) + 1 AS BIGINT) AS next_seq FROM thread_nodes GROUP BY sitting_uid")
@@ -77,6 +71,20 @@ def thread_current(spark, d):
     return n.select("sitting_uid", "seq").distinct().join(named, ["sitting_uid", "seq"], "left_anti")
 
 
+# SQL: the record of every node, spread along the naming links until nothing changes: (sitting_uid, node, top, place).
+RECORDS = """n AS (SELECT sitting_uid, seq, bool_or(regexp_replace(lower(state), '\\s+', '', 'g') = 'retracted') AS gone FROM thread_nodes GROUP BY ALL),
+    e AS (SELECT DISTINCT q.sitting_uid, q.seq AS a, q.x AS b FROM (SELECT sitting_uid, seq, unnest(supersedes) AS x FROM thread_nodes) q JOIN n ON n.sitting_uid = q.sitting_uid AND n.seq = q.x WHERE q.x < q.seq),
+    g AS (SELECT sitting_uid, a, b FROM e UNION ALL SELECT sitting_uid, b, a FROM e),
+    r AS (SELECT sitting_uid, seq AS top, seq AS node FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.sitting_uid = n.sitting_uid AND e.b = n.seq) UNION SELECT r.sitting_uid, r.top, g.b FROM r JOIN g ON g.sitting_uid = r.sitting_uid AND g.a = r.node),
+    m AS (SELECT sitting_uid, node, max(top) AS top FROM r GROUP BY ALL), rec AS (SELECT sitting_uid, top, min(node) AS place FROM m GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {RECORDS} SELECT n.sitting_uid, rec.place, n.seq FROM n JOIN rec ON rec.sitting_uid = n.sitting_uid AND rec.top = n.seq WHERE NOT n.gone")
+def thread_view(spark, d):
+    """What a reader of the log sees: every record that stands, at the place of the first node that it took over."""
+    return standing(table(spark, d, "thread_nodes"), new_path(spark, "view")).select("sitting_uid", F.col("record").alias("place"), "seq")
+
+
 @query(f"SELECT sitting_uid, kind, CAST(count(DISTINCT seq) AS BIGINT) AS n FROM thread_nodes WHERE t <= {SEEK_MS} GROUP BY ALL")
 def seek_purge(spark, d):
     """What is left of each sitting after a seek back to half an hour."""
@@ -111,17 +119,6 @@ def count_windows(spark, d):
     return w.select("sitting_uid", "win", F.size("targets").cast("bigint").alias("n"), F.col("targets")[0]["ord"].alias("first_ord"), F.element_at("targets", -1)["ord"].alias("last_ord"), F.array_join("targets.text", " ").alias("text"), F.coalesce(F.array_join("context", " "), F.lit("")).alias("context"))
 
 
-@query(f"""WITH {_EV}, u AS (SELECT sitting_uid, ord, text, (row_number() OVER (PARTITION BY sitting_uid ORDER BY ord) - 1) // {WINDOW} AS win FROM ev WHERE type = 'utterance' AND text IS NOT NULL)
-    SELECT u.sitting_uid, CAST(win AS BIGINT) AS win, 'Séance : ' || any_value(titre) || chr(10) || 'Texte : ' || string_agg(text, ' ' ORDER BY ord) AS prompt FROM u JOIN sittings s ON s.sitting_uid = u.sitting_uid GROUP BY u.sitting_uid, win""")
-def prompt_text(spark, d):
-    """A prompt per count window from a template."""
-    w = count_windows_of(events_of(spark, d)).join(table(spark, d, "sittings").select("sitting_uid", "titre"), "sitting_uid")
-    prompt = F.lit("Séance : <<TITRE>>\nTexte : <<CIBLE>>")
-    for token, value in (("<<TITRE>>", F.col("titre")), ("<<CIBLE>>", F.array_join("targets.text", " "))):
-        prompt = F.replace(prompt, F.lit(token), value)
-    return w.select("sitting_uid", "win", prompt.alias("prompt"))
-
-
 @query("""WITH n AS (SELECT sitting_uid, seq, any_value(t) AS t FROM thread_nodes GROUP BY ALL), m AS (SELECT DISTINCT sitting_uid, seq, unnest(supersedes) AS x FROM thread_nodes WHERE source = 'llm')
     SELECT m.sitting_uid, m.seq, CAST(min(n.t) AS BIGINT) AS t, CAST(count(*) AS BIGINT) AS covered FROM m JOIN n ON n.sitting_uid = m.sitting_uid AND n.seq = m.x GROUP BY ALL""")
 def merge_nodes(spark, d):
@@ -192,29 +189,102 @@ def broadcast_wall(spark, d):
     return k.select("tick_id", wall.alias("wall_ms"), F.date_format(F.from_utc_timestamp(F.timestamp_millis(wall), "Europe/Paris"), "yyyy-MM-dd HH:mm:ss").alias("paris"))
 
 
-_NAIVE = r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|1[0-9]|2[0-8])T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]\.[0-9]{3}\z"
-# Civil times from 2 to 3 in the morning may be skipped or occur twice; the pin of the others is sure.
-_STAMP = r"^20[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|1[0-9]|2[0-8])(0[013-9]|1[0-9]|2[0-3])[0-5][0-9][0-5][0-9]\z"
+_NAIVE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3}\z"
+_STAMP = r"^20[0-9]{12}\z"
+
 
+def _pin(x: str) -> str:
+    """SQL: a civil time of Paris as an instant; where it occurs twice the first, where it is skipped by the offset before."""
+    return f"CASE WHEN timezone('Europe/Paris', timezone('Europe/Paris', {x}) - INTERVAL 1 HOUR) = {x} THEN timezone('Europe/Paris', {x}) - INTERVAL 1 HOUR ELSE timezone('Europe/Paris', {x}) END"
 
-@query(f"""SELECT DISTINCT tick_id, epoch_ms(timezone('Europe/Paris', strptime(wall, '%Y-%m-%dT%H:%M:%S.%g'))) AS wall_ms FROM capture_ticks WHERE regexp_matches(wall, '{_NAIVE}') AND substr(wall, 12, 2) <> '02'""")
+
+@query(f"""WITH w AS (SELECT DISTINCT tick_id, try_strptime(wall, '%Y-%m-%dT%H:%M:%S.%g') AS x FROM capture_ticks WHERE regexp_matches(wall, '{_NAIVE}')) SELECT tick_id, epoch_ms({_pin("x")}) AS wall_ms FROM w WHERE x IS NOT NULL""")
 def paris_pin(spark, d):
-    """Naive stamps are Paris time, whatever the session's zone."""
-    k = table(spark, d, "capture_ticks").where(F.col("wall").rlike(_NAIVE) & (F.substring("wall", 12, 2) != "02"))
-    return k.select("tick_id", F.unix_millis(F.to_utc_timestamp(F.to_timestamp("wall", "yyyy-MM-dd'T'HH:mm:ss.SSS"), "Europe/Paris")).alias("wall_ms")).distinct()
+    """Naive stamps are Paris time, whatever the session's zone; those of no real day are left out."""
+    k = table(spark, d, "capture_ticks").where(F.col("wall").rlike(_NAIVE))
+    return k.select("tick_id", F.unix_millis(F.to_utc_timestamp(F.try_to_timestamp("wall", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS")), "Europe/Paris")).alias("wall_ms")).where("wall_ms is not null").distinct()
 
 
-@query(f"""SELECT DISTINCT tick_id, CAST(epoch_ms(timezone('Europe/Paris', strptime(wall, '%Y%m%d%H%M%S'))) // 1000 AS BIGINT) AS origin FROM capture_ticks WHERE regexp_matches(wall, '{_STAMP}')""")
+@query(f"""WITH w AS (SELECT DISTINCT tick_id, try_strptime(wall, '%Y%m%d%H%M%S') AS x FROM capture_ticks WHERE regexp_matches(wall, '{_STAMP}')) SELECT tick_id, CAST(epoch_ms({_pin("x")}) // 1000 AS BIGINT) AS origin FROM w WHERE x IS NOT NULL""")
 def origin_stamp(spark, d):
-    """The epoch second of a 14-digit stamp, pinned to Paris."""
+    """The epoch second of a 14-digit stamp, pinned to Paris; stamps of no real time are left out."""
     k = table(spark, d, "capture_ticks").where(F.col("wall").rlike(_STAMP))
-    return k.select("tick_id", F.unix_seconds(F.to_utc_timestamp(F.to_timestamp("wall", "yyyyMMddHHmmss"), "Europe/Paris")).alias("origin")).distinct()
+    return k.select("tick_id", F.unix_seconds(F.to_utc_timestamp(F.try_to_timestamp("wall", F.lit("yyyyMMddHHmmss")), "Europe/Paris")).alias("origin")).where("origin is not null").distinct()
+
+
+@query("""WITH k AS (SELECT DISTINCT tick_id, sitting_uid, changed FROM capture_ticks WHERE tick_id IS NOT NULL), s AS (SELECT sitting_uid, unnest(map_entries(changed)) AS e FROM k) SELECT sitting_uid, e.key AS source, CAST(count(*) AS BIGINT) AS polled, CAST(count(*) FILTER (WHERE e.value) AS BIGINT) AS saved FROM s GROUP BY ALL""")
+def saved_counters(spark, d):
+    """Per sitting and source how often it was polled, and how often a snapshot was saved."""
+    k = table(spark, d, "capture_ticks").where("tick_id is not null").select("tick_id", "sitting_uid", F.array_sort(F.map_entries("changed")).alias("c")).distinct()
+    s = k.select("sitting_uid", F.explode("c").alias("e"))
+    return s.groupBy("sitting_uid", F.col("e.key").alias("source")).agg(F.count(F.lit(1)).alias("polled"), F.count_if("e.value").alias("saved"))
+
+
+@query("""WITH k AS (SELECT tick_id, any_value(sitting_uid) AS sitting_uid, any_value(t) AS t FROM capture_ticks WHERE tick_id IS NOT NULL GROUP BY tick_id) SELECT s.sitting_uid, s.starttime, CAST(count(k.tick_id) AS BIGINT) AS n_synchro, arg_max(k.t, k.tick_id) AS last_timecode_ms, max(k.tick_id) FILTER (WHERE k.t IS NOT NULL) AS last_id
+    FROM sittings s LEFT JOIN k ON k.sitting_uid = s.sitting_uid GROUP BY s.sitting_uid, s.starttime""")
+def sync_summary(spark, d):
+    """Per sitting its start, its number of ticks, and the last one that has a time."""
+    k = table(spark, d, "capture_ticks").where("tick_id is not null").select("tick_id", "sitting_uid", "t").distinct()
+    timed = F.when(F.col("t").isNotNull(), F.col("tick_id"))
+    a = k.groupBy("sitting_uid").agg(F.count(F.lit(1)).alias("n"), F.max_by("t", timed).alias("last_timecode_ms"), F.max(timed).alias("last_id"))
+    return table(spark, d, "sittings").select("sitting_uid", "starttime").join(a, "sitting_uid", "left").select("sitting_uid", "starttime", F.coalesce("n", F.lit(0)).alias("n_synchro"), "last_timecode_ms", "last_id")
+
+
+@query("""WITH a AS (SELECT sitting_uid, max(beg) - min(beg) AS audio FROM segments WHERE beg IS NOT NULL GROUP BY ALL), w AS (SELECT sitting_uid, (epoch_ms(max(received_at)) - epoch_ms(min(received_at))) / 1000 AS wall FROM capture_ticks WHERE received_at IS NOT NULL GROUP BY ALL)
+    SELECT a.sitting_uid, round(wall / audio, 6) AS factor FROM a JOIN w ON w.sitting_uid = a.sitting_uid WHERE audio > 0""")
+def real_time_factor(spark, d):
+    """Wall seconds a second of audio, per sitting."""
+    a = table(spark, d, "segments").groupBy("sitting_uid").agg((F.max("beg") - F.min("beg")).alias("audio")).where("audio > 0")
+    w = table(spark, d, "capture_ticks").groupBy("sitting_uid").agg(((F.unix_millis(F.max("received_at")) - F.unix_millis(F.min("received_at"))) / 1000).alias("wall")).where("wall is not null")
+    return a.join(w, "sitting_uid").select("sitting_uid", F.round(F.col("wall") / F.col("audio"), 6).alias("factor"))
+
+
+@query("""WITH r AS (SELECT DISTINCT unnest(map_values(raw_ref)) AS ref FROM capture_ticks), p AS (SELECT '/' || ref AS path FROM r WHERE ref <> '' UNION SELECT '/referential/' || slug || '.json' FROM acteurs UNION SELECT '/ground-truth/' || uid FROM organes UNION SELECT unnest(['/derouleur.json', '/amendement.do', '/prochainADiscuter.do', '/ground-truth/tree', '/ground-truth/timeline', '/thread/x', '/referential/a/b.json']))
+    SELECT path, CASE WHEN path = '/derouleur.json' THEN 'derouleur' WHEN path IN ('/amendement.do', '/prochainADiscuter.do') THEN 'eliasse' WHEN path LIKE '/referential/%.json' AND length(path) - length(replace(path, '/', '')) = 2 AND path <> '/referential/.json' THEN 'referential' WHEN path = '/ground-truth/timeline' THEN 'timeline' WHEN path = '/ground-truth/tree' THEN 'tree' WHEN path LIKE '/ground-truth/_%' THEN 'ground-truth' END AS route,
+      CAST(CASE WHEN path IN ('/derouleur.json', '/amendement.do', '/prochainADiscuter.do') THEN 1 WHEN path LIKE '/referential/%.json' AND length(path) - length(replace(path, '/', '')) = 2 AND path <> '/referential/.json' OR path LIKE '/ground-truth/_%' THEN 0 END AS BOOLEAN) AS causal FROM p""")
+def route_dispatch(spark, d):
+    """Where a path leads, and whether it is gated by the clock; no route is a 404."""
+    r = table(spark, d, "capture_ticks").select(F.explode(F.map_values("raw_ref")).alias("ref")).where("ref <> ''").select(F.concat(F.lit("/"), "ref").alias("path"))
+    fixed = spark.createDataFrame([(x,) for x in ("/derouleur.json", "/amendement.do", "/prochainADiscuter.do", "/ground-truth/tree", "/ground-truth/timeline", "/thread/x", "/referential/a/b.json")], "path string")
+    p = r.union(table(spark, d, "acteurs").select(F.concat(F.lit("/referential/"), "slug", F.lit(".json")))).union(table(spark, d, "organes").select(F.concat(F.lit("/ground-truth/"), "uid"))).union(fixed).where("path is not null").distinct()
+    return p.withColumn("r", T.route(F.col("path"))).select("path", F.col("r.name").alias("route"), F.col("r.causal").alias("causal"))
 
 
 # Change detection
 
 _SNAPS = "snaps AS (SELECT snap_id, any_value(sitting_uid) AS sitting_uid, any_value(seen_at) AS seen_at, any_value(body) AS body FROM derouleur GROUP BY snap_id)"
-_VOLATILE = r'"(?:extract_date_time|jaune_date_time)" *: *"[^"]*",?'
+# SQL: the leaves of a document as sorted lines of path and value, without the volatile ones; the text itself if it is none.
+_LEAVES = """lf AS (SELECT snap_id, t.fullkey || '=' || (t.atom ->> '$') AS line FROM snaps, json_tree(CASE WHEN json_valid(body) THEN body ELSE 'null' END) t WHERE t.atom IS NOT NULL AND t.type <> 'NULL' AND t.fullkey NOT IN ('$.racine.jaune.extract_date_time', '$.racine.jaune.jaune_date_time')),
+    hs AS (SELECT s.snap_id, s.sitting_uid, md5(CASE WHEN json_valid(any_value(s.body)) THEN coalesce(string_agg(l.line, chr(10) ORDER BY l.line), '') ELSE any_value(s.body) END) AS hash FROM snaps s LEFT JOIN lf l ON l.snap_id = s.snap_id GROUP BY ALL)"""
+
+
+def canonical(body: Column) -> Column:
+    """A document as sorted lines of path and value, without its two volatile times; a text that is none as it is."""
+
+    @F.pandas_udf("string")
+    def lines(bodies: pd.Series) -> pd.Series:
+        return pd.Series([canonical_text(b) for b in bodies], dtype=object)
+
+    return lines(body)
+
+
+def canonical_text(body: str | None) -> str | None:
+    try:
+        value = loads(body) if body is not None else None
+    except ValueError:
+        return body
+    if body is None:
+        return None
+    out, stack = [], [("$", value)]
+    while stack:
+        path, v = stack.pop()
+        if isinstance(v, dict):
+            stack.extend((f"{path}.{k}", x) for k, x in v.items())
+        elif isinstance(v, list):
+            stack.extend((f"{path}[{k}]", x) for k, x in enumerate(v))
+        elif v is not None and path not in ("$.racine.jaune.extract_date_time", "$.racine.jaune.jaune_date_time"):
+            out.append(f"{path}={v if isinstance(v, str) else json.dumps(v)}")
+    return "\n".join(sorted(out))
 
 
 def snapshots_of(spark: SparkSession, d: str, *columns: Column) -> DataFrame:
@@ -222,18 +292,18 @@ def snapshots_of(spark: SparkSession, d: str, *columns: Column) -> DataFrame:
     return table(spark, d, "derouleur").where("snap_id is not null").select("snap_id", "sitting_uid", *columns).distinct()
 
 
-@query(f"WITH {_SNAPS} SELECT snap_id, md5(regexp_replace(body, '{_VOLATILE}', '', 'g')) AS hash FROM snaps WHERE body IS NOT NULL")
+@query(f"WITH {_SNAPS}, {_LEAVES} SELECT snap_id, hash FROM hs WHERE hash IS NOT NULL")
 def canonical_hash(spark, d):
-    """The hash of a snapshot without its volatile fields."""
-    return snapshots_of(spark, d, F.md5(F.regexp_replace("body", _VOLATILE, "")).alias("hash")).where("hash is not null").select("snap_id", "hash")
+    """The hash of a snapshot without its volatile fields, whatever the order of its keys and its spacing."""
+    return snapshots_of(spark, d, F.md5(canonical(F.col("body"))).alias("hash")).where("hash is not null").select("snap_id", "hash")
 
 
-@query(f"""WITH {_SNAPS}, h AS (SELECT snap_id, sitting_uid, md5(regexp_replace(body, '{_VOLATILE}', '', 'g')) AS hash FROM snaps),
-    c AS (SELECT *, coalesce(hash IS NOT NULL AND hash IS DISTINCT FROM last_value(hash IGNORE NULLS) OVER (PARTITION BY sitting_uid ORDER BY snap_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS changed FROM h)
+@query(f"""WITH {_SNAPS}, {_LEAVES},
+    c AS (SELECT *, coalesce(hash IS NOT NULL AND hash IS DISTINCT FROM last_value(hash IGNORE NULLS) OVER (PARTITION BY sitting_uid ORDER BY snap_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS changed FROM hs)
     SELECT sitting_uid, snap_id, changed, last_value(CASE WHEN changed THEN snap_id END IGNORE NULLS) OVER (PARTITION BY sitting_uid ORDER BY snap_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ref FROM c""")
 def content_dedup(spark, d):
     """Snapshots that differ from the last good one; the others, failed ones too, repeat its reference."""
-    h = snapshots_of(spark, d, F.md5(F.regexp_replace("body", _VOLATILE, "")).alias("hash"))
+    h = snapshots_of(spark, d, F.md5(canonical(F.col("body"))).alias("hash"))
     s = scan(h, ["sitting_uid"], ["snap_id"], last={"was": F.col("hash")})
     s = s.withColumn("changed", F.col("hash").isNotNull() & ~F.col("hash").eqNullSafe(F.col("was"))).drop("was", "hash")
     own = F.when(F.col("changed"), F.col("snap_id"))
@@ -268,20 +338,32 @@ def auto_stop(spark, d):
     return late.groupBy("user_id").agg(F.min("ts").alias("stop_at"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS w, event_type AS c, CAST(round(value * 1000) AS BIGINT) AS arg FROM events WHERE event_type IN ('view', 'error', 'click')),
-    a AS (SELECT *, coalesce(last_value(CASE c WHEN 'view' THEN 1 WHEN 'error' THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY w, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS playing, lag(w) OVER (PARTITION BY user_id ORDER BY w, event_id) AS was FROM e),
-    b AS (SELECT *, CAST(sum(CASE WHEN playing = 1 THEN w - was ELSE 0 END) OVER (PARTITION BY user_id ORDER BY w, event_id) AS BIGINT) AS run FROM a)
-    SELECT event_id, run + coalesce(last_value(CASE WHEN c = 'click' THEN arg - run END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY w, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS t_ms FROM b""")
+@query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS w, event_type AS c, CAST(round(value * 1000) AS BIGINT) AS arg, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+    a AS (SELECT *, coalesce(last_value(CASE c WHEN 'view' THEN 1 WHEN 'error' THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS playing, lag(w) OVER (PARTITION BY user_id ORDER BY k) AS was FROM e),
+    b AS (SELECT *, CASE WHEN playing = 1 THEN w - was ELSE 0 END AS step FROM a),
+    r(user_id, event_id, k, t_ms) AS (SELECT user_id, event_id, k, CASE c WHEN 'click' THEN greatest(0, arg) WHEN 'purchase' THEN greatest(0, -arg) ELSE 0 END FROM b WHERE k = 1
+      UNION ALL SELECT b.user_id, b.event_id, b.k, CASE b.c WHEN 'click' THEN greatest(0, b.arg) WHEN 'purchase' THEN greatest(0, r.t_ms + b.step - b.arg) ELSE r.t_ms + b.step END FROM r JOIN b ON b.user_id = r.user_id AND b.k = r.k + 1)
+    SELECT event_id, CAST(t_ms AS BIGINT) AS t_ms FROM r""".replace("WITH e", "WITH RECURSIVE e"))
 def clock_fold(spark, d):
-    """The master clock after each command (view plays, error pauses, click seeks): time runs while playing."""
-    e = table(spark, d, "events").where("event_type in ('view', 'error', 'click')").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("w"), F.col("event_type").alias("c"), F.round(F.col("value") * 1000).cast("bigint").alias("arg"))
+    """The master clock after each command: view plays, error pauses, click seeks, purchase seeks back by its value.
+
+    Time runs while playing and no seek goes below zero. Between two seeks the clock is the running sum
+    of its steps above the lowest point that it was lifted from, so sums and peaks give it.
+    """
+    e = table(spark, d, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("w"), F.col("event_type").alias("c"), F.round(F.col("value") * 1000).cast("bigint").alias("arg"))
     order = ["w", "event_id"]
     a = scan(e, ["user_id"], order, lag={"was": F.col("w")}, last={"playing": F.when(F.col("c") == "view", 1).when(F.col("c") == "error", 0)})
-    a = a.withColumn("step", F.when(F.col("playing") == 1, F.col("w") - F.col("was")).otherwise(0)).drop("was", "playing")
-    b = scan(a, ["user_id"], order, total={"base": F.col("step")}).withColumn("run", F.col("base") + F.col("step"))
-    jump = F.when(F.col("c") == "click", F.col("arg") - F.col("run"))
-    b = b.select("user_id", "event_id", "w", "run", jump.alias("jump"))
-    return scan(b, ["user_id"], order, last={"prior": F.col("jump")}).select("event_id", (F.col("run") + F.coalesce("jump", "prior", F.lit(0))).alias("t_ms"))
+    run = F.when(F.col("playing") == 1, F.col("w") - F.col("was")).otherwise(0)
+    back = F.col("c") == "purchase"
+    a = a.select("user_id", "event_id", "w", "c", "arg", (run - F.when(back, F.col("arg")).otherwise(0)).alias("step"), (F.col("c") == "click").cast("int").alias("seek"))
+    b = scan(a, ["user_id"], order, total={"base": F.col("step"), "epoch": F.col("seek")})
+    total = F.col("base") + F.col("step")
+    # What a row lifts the clock to, less the sum up to there: a seek its target, a seek back zero.
+    lift = F.when(F.col("c") == "click", F.greatest(F.lit(0), F.col("arg")) - total).when(back, -total)
+    b = b.select("user_id", "event_id", "w", total.alias("total"), lift.alias("lift"), (F.col("epoch") + F.col("seek")).alias("epoch"))
+    s = scan(b, ["user_id", "epoch"], order, peak={"high": F.col("lift")})
+    start = F.when(F.col("epoch") == 0, 0)  # before any seek the clock starts at zero
+    return s.select("event_id", (F.col("total") + F.greatest("high", "lift", start)).alias("t_ms"))
 
 
 __all__ = ["QUERIES", "SQL", "count_windows_of", "events_of", "query", "snapshots_of", "ticks_of", "weave"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import weakref
@@ -87,22 +88,29 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.repartition(n, F.xxhash64(*keys))
 
 
-def _clean() -> None:
+def release(spark: SparkSession | None = None) -> None:
+    """Deletes the intermediate tables made so far (of one session, or of all): for long sessions, between jobs.
+
+    DataFrames that still read such a table can't be used afterwards. Runs at exit as well.
+    """
+    kept = []
     for ref, path in _made:
-        spark = ref()
+        own = ref()
+        if spark is not None and own is not spark:
+            kept.append((ref, path))
+            continue
         try:
-            if spark is not None and spark.sparkContext._jsc is not None:
-                fs, p = filesystem(spark, path)
+            if own is not None and own.sparkContext._jsc is not None:
+                fs, p = filesystem(own, path)
                 fs.delete(p, True)
         except Exception:
             local = path.removeprefix("file://").removeprefix("file:")
             if os.path.isdir(local):
-                import shutil
-
                 shutil.rmtree(local, ignore_errors=True)
+    _made[:] = kept
 
 
-atexit.register(_clean)
+atexit.register(release)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,6 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from filament.functions import text as T
+from filament.functions.resolve import Matcher
+from filament.operators.deduction import BALLOTS
+
 WOVEN = "sitting_uid string, seq bigint, t bigint, kind string, state string, text string, source string, supersedes bigint"
 
 
@@ -178,6 +182,96 @@ _WINDOW = ["sitting_uid", "n", "first_ord", "last_ord", "text", "context"]
 WINDOWS = "sitting_uid string, n bigint, first_ord bigint, last_ord bigint, text string, context string"
 
 
+DEDUCED = "sitting_uid string, seq bigint, t bigint, kind string, state string, text string, source string, supersedes bigint, acteur string, tribun string, amendement_uid string, article string, groupe string, call string, heard string, groupe_label string"
+
+
+class Deduce(StatefulProcessor):
+    """The log of events and of what they let one deduce, in one sequence: both passes share the state.
+
+    ``agenda``: number -> entries (at_ms, place, uid, tribun, label, article) in rising order; ``names``: heard
+    -> uid; ``people``: uid -> (label, group); ``groups``: uid -> label.
+    """
+
+    def __init__(self, agenda: dict, matcher: Matcher, people: dict, groups: dict):
+        self.agenda, self.matcher, self.people, self.groups = agenda, matcher, people, groups
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "seq bigint, interim boolean, floor string, held array<string>, tail array<boolean>")
+        self.woven = handle.getMapState("woven", "uid string", "seq bigint")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        pdf = pd.concat(list(rows)).sort_values("ord", kind="stable")
+        seq, interim, floor, held, tail = self.head.get() if self.head.exists() else (0, False, None, None, None)
+        out: list[tuple] = []
+
+        def node(t, kind, state, text, supersedes=None, canonical=(None,) * 5, rest=(None,) * 3) -> None:
+            nonlocal seq
+            out.append((key[0], seq, t, kind, state, text, "stt", supersedes, *canonical, *rest))
+            seq += 1
+
+        for r in pdf.itertuples():
+            t = int(r.beg * 1000)
+            node(t, "utterance", "provisional" if r.type == "interim" else "consolidated", r.text, seq - 1 if interim else None)
+            interim = r.type == "interim"
+            if r.type != "utterance" or not isinstance(r.text, str):
+                continue
+            for n in r.nums:
+                known = [e for e in self.agenda.get((key[0], int(n)), ()) if e[0] <= r.at_ms]
+                if not known:
+                    continue
+                _, _, uid, tribun, label, article = known[-1]
+                held = [f"PA{tribun}" if tribun else None, tribun or None, uid, article, None]
+                if not self.woven.containsKey((uid,)):
+                    self.woven.updateValue((uid,), (seq,))
+                    node(t, "amendment", "consolidated", label or "", canonical=held)
+            for n in r.names:
+                uid = self.matcher.resolve(list(n["words"]))[0]
+                if uid is None or uid == floor:
+                    continue
+                call = n["call"]
+                if n["opens"] and tail is not None and tail[0]:
+                    call = "strong" if n["group"] or tail[1] or tail[2] else "weak" if tail[3] and n["ends"] else "none"
+                if call != "none":
+                    floor = uid
+                label, group = self.people[uid]
+                node(t, "speaker", "consolidated", label, canonical=(uid, uid[2:], None, None, group), rest=(None if call == "none" else call, n["name"], self.groups.get(group)))
+            if isinstance(r.event, str):
+                node(t, "ballot", "consolidated", BALLOTS[r.event], canonical=held or (None,) * 5)
+            tail = list(r.tail)
+        self.head.update((seq, interim, floor, list(held) if held is not None else None, [bool(x) for x in tail] if tail is not None else None))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in DEDUCED.split(", ")]).astype({"supersedes": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def deduce_stream(events: DataFrame, agenda: DataFrame, people: DataFrame, groups: DataFrame, most: int = 200_000) -> DataFrame:
+    """(sitting_uid, ord, type, beg, at_ms, text[, source]) into the whole log; tables as in ``deduction.deduce``.
+
+    Rows of another source than speech, such as corrections, are not deduced from. The tables of a live
+    sitting are small: each is counted, and more than ``most`` rows are an error.
+    """
+    for x in (agenda, people, groups):
+        if x.count() > most:
+            raise ValueError("a table of a live sitting is too large to be held by every task")
+    seen: dict = {}
+    for r in sorted(agenda.select("sitting_uid", "num", "at_ms", "place", "uid", "tribun", "label", "article").collect(), key=lambda r: (r[2], r[3])):
+        seen.setdefault((r[0], r[1]), []).append(tuple(r[2:]))
+    listed = people.where("uid is not null").select("uid", T.normalize_name(F.col("nom")).alias("one"), T.normalize_name(F.concat_ws(" ", F.coalesce("prenom", F.lit("")), F.coalesce("nom", F.lit("")))).alias("more")).distinct()
+    matcher = Matcher(sorted(tuple(r) for r in listed.collect()))
+    who = {r[0]: (r[1], r[2]) for r in people.select("uid", F.concat_ws(" ", "civ", "prenom", "nom"), "groupe_uid").collect()}
+    what = {r[0]: r[1] for r in groups.select("uid", "libelle").collect()}
+    text = F.col("text")
+    after = lambda n: F.substring(text, F.instr(text, n) + F.length(n), F.length(text))
+    blank = lambda c: F.trim(c) == ""
+    names = F.transform(T.speaker_names(text), lambda n: F.struct(n.alias("name"), T.name_tokens(n).alias("words"), T.speaker_call(text, n, F.lit("")).alias("call"), blank(F.substring(text, F.lit(1), F.instr(text, n) - 1)).alias("opens"), after(n).rlike(T.CALL_AFTER).alias("group"), blank(F.split(after(n), "[.!?]", 2)[0]).alias("ends")))
+    tail = F.array(~F.rtrim(text).rlike(T.SENTENCE_END) & (text != ""), text.rlike(T.CALL_BEFORE), text.rlike(T.AMENDMENT), blank(F.element_at(F.split(text, "[.!?]", -1), -1)))
+    if "source" in events.columns:
+        events = events.where("source = 'stt'")
+    cols = events.select("sitting_uid", "ord", "type", "beg", "at_ms", "text", F.coalesce(T.amendment_numbers(text), F.array().cast("array<int>")).alias("nums"), F.coalesce(names, F.array()).alias("names"), T.ballot_event(text).alias("event"), tail.alias("tail"))
+    return _run(cols, Deduce(seen, matcher, who, what), DEDUCED)
+
+
 def _run(stream: DataFrame, processor: StatefulProcessor, schema: str, mode: str = "None") -> DataFrame:
     return stream.groupBy("sitting_uid").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode)
 
@@ -204,6 +298,12 @@ def cooldown_stream(boundaries: DataFrame, seconds: float = 3.0) -> DataFrame:
     return _run(boundaries.select("sitting_uid", "beg"), Cooldown(seconds), "sitting_uid string, beg double")
 
 
+def voice_nodes(boundaries: DataFrame, seconds: float = 3.0) -> DataFrame:
+    """Voice boundaries into provisional speaker nodes of nobody: (sitting_uid, t, kind, state, text, source)."""
+    b = cooldown_stream(boundaries, seconds)
+    return b.select("sitting_uid", (F.col("beg") * 1000).cast("bigint").alias("t"), F.lit("speaker").alias("kind"), F.lit("provisional").alias("state"), F.lit("(nouvelle voix)").alias("text"), F.lit("diar").alias("source"))
+
+
 def window_stream(utterances: DataFrame, size: int = 20, overlap: int = 2, idle_ms: int = 30_000) -> DataFrame:
     return _run(utterances.select("sitting_uid", "ord", "text"), CountWindow(size, overlap, idle_ms), WINDOWS, "ProcessingTime")
 

@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from filament.functions.clock import MasterClock, broadcast_ms
+from filament.operators import deduction
 from filament.operators.ranges import scan
 from filament.plans.thread import count_windows_of, weave
 from filament.sources import files, sinks
 from filament.sources.polling import PollingSource
+from filament.runtime import durable
 from filament.streaming import processors as P
 
 
@@ -81,6 +83,43 @@ def test_context_twin(spark, events, tmp_path):
     assert same(got, want)
 
 
+def test_deduced_log_twin(spark, tmp_path):
+    """Batch and stream give the same log; both follow the rules one utterance after the other."""
+    rng = random.Random(13)
+    phrases = [
+        "La parole est à Mme Anne Tournefeu.", "L'amendement 12 de M. Paul Brulet", "M. Brulat.", "Comme M. Paul Brulet le disait", "Le scrutin est ouvert sur le 12", "Il est adopté.", "Amendements 7, 12 et 99", "Sur ce point la parole est à", "Mme Anne Tournefeu.",
+        "M. Paul Brulet, pour le groupe Rivages.", "Rien à dire", "Monsieur le ministre.", "Mme Anne Tournefeu et M. Paul Brulet", "Je mets aux voix l'amendement 7", "le 7, il est rejeté, scrutin", "", None,
+    ]
+    rows = [(rng.choice("ab"), i, rng.choice(["interim", "utterance", "utterance"]), i * 1.5, i * 1500, rng.choice(phrases)) for i in range(160)]
+    schema = "sitting_uid string, ord bigint, type string, beg double, at_ms bigint, text string"
+    (tmp_path / "d").mkdir()
+    for k in range(4):
+        chunk = rows[k * 40 : k * 40 + 40]
+        (tmp_path / "d" / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(schema.replace(" string", "").replace(" bigint", "").replace(" double", "").split(", "), r, strict=True)) | {"source": "stt"}) for r in rng.sample(chunk, 40)) + '\n{"sitting_uid": "a", "ord": 999, "type": "utterance", "beg": 1.0, "at_ms": 1, "text": "amendement 12", "source": "llm"}\n')
+        os.utime(tmp_path / "d" / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    events = spark.createDataFrame(rows, schema)
+    agenda = spark.createDataFrame([("a", 12, 30_000, [1, 1, 1], "UN12", "55", "L12", "art 1"), ("a", 12, 90_000, [2, 1, 1], "UN12b", "", None, None), ("b", 7, 0, [1, 1, 1], "UN7", None, "L7", "art 2"), ("b", 7, 0, [1, 1, 2], "UN7c", "56", "L7c", "art 3"), ("b", 12, 200_000, [1, 1, 1], "UN12", "55", "L12", None)], "sitting_uid string, num int, at_ms bigint, place array<bigint>, uid string, tribun string, label string, article string")
+    people = spark.createDataFrame([("PA1", "Mme", "Anne", "Tournefeu", "g1"), ("PA2", "M.", "Paul", "Brulet", None), ("PA3", "Mme", "Jeanne", "Brulat", "g9")], "uid string, civ string, prenom string, nom string, groupe_uid string")
+    groups = spark.createDataFrame([("g1", "Groupe Un", "GU")], "uid string, libelle string, libelle_abrege string")
+    P.state_store(spark)
+    s = spark.readStream.schema(schema + ", source string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "d"))
+    got = drain(P.deduce_stream(s, agenda, people, groups), tmp_path, "deduced")
+    said = events.where("type = 'utterance' and text is not null")
+    nodes = durable(deduction.deduce(said, agenda, people, groups), "nodes")
+    numbered = deduction.numbered(events, nodes)
+    batch = nodes.join(numbered.where("rank > 0").drop("kind"), ["sitting_uid", "ord", "rank", "pos"]).select("sitting_uid", "seq", "kind", "text", "canonical.*", "call", "heard", "groupe_label")
+    stream = got.where("kind <> 'utterance'").select(*batch.columns)
+    assert same(stream, batch) and batch.count() > 40
+    assert {r["kind"] for r in batch.select("kind").distinct().collect()} == {"amendment", "speaker", "ballot"}
+    assert same(got.where("kind = 'utterance'").select("sitting_uid", "seq"), numbered.where("rank = 0").select("sitting_uid", "seq"))
+    seqs = sorted((r[0], r[1]) for r in got.select("sitting_uid", "seq").collect())
+    assert seqs == [(p, i) for p in "ab" for i in range(sum(x[0] == p for x in seqs))]
+    one = {r["seq"]: r for r in got.where("sitting_uid = 'b'").collect()}
+    # Amendments are woven once a sitting, with the entry that was known; a ballot takes the one on hand.
+    woven = [r["amendement_uid"] for r in one.values() if r["kind"] == "amendment"]
+    assert len(woven) == len(set(woven)) and "UN7c" in woven and "UN7" not in woven
+
+
 def test_floor_and_dedup(spark, tmp_path):
     P.state_store(spark)
     (tmp_path / "s").mkdir()
@@ -98,12 +137,12 @@ def test_scan_against_windows(spark):
     rng = random.Random(5)
     rows = [(rng.choice(["a", "a", "a", None]), i, rng.choice([None, i]), rng.choice([None, 1, 2])) for i in range(500)]
     df = spark.createDataFrame(rows, "part string, ord int, v int, n int")
-    got = {r["ord"]: (r["l"], r["k"], r["s"]) for r in scan(df, ["part"], ["ord"], lag={"l": F.col("v")}, last={"k": F.col("v")}, total={"s": F.col("n")}).collect()}
+    got = {r["ord"]: (r["l"], r["k"], r["s"], r["p"]) for r in scan(df, ["part"], ["ord"], lag={"l": F.col("v")}, last={"k": F.col("v")}, total={"s": F.col("n")}, peak={"p": F.col("n")}).collect()}
     state, want = {}, {}
     for part, i, v, n in rows:
-        was, known, total = state.get(part, (None, None, 0))
-        want[i] = (was, known, total)
-        state[part] = (v, v if v is not None else known, total + (n or 0))
+        was, known, total, high = state.get(part, (None, None, 0, None))
+        want[i] = (was, known, total, high)
+        state[part] = (v, v if v is not None else known, total + (n or 0), max((x for x in (n, high) if x is not None), default=None))
     assert got == want
     assert scan(df.limit(0), ["part"], ["ord"], lag={"l": F.col("v")}).count() == 0
 
