@@ -96,13 +96,13 @@ class BucketedTable:
             touched = [r[0] for r in routed.select("_bucket").distinct().collect()]
             dirs = [f"{self.path}/{head['files'][str(b)]}" for b in touched if str(b) in head["files"]]
             if dirs:
-                base = self.spark.read.schema(self.schema).parquet(*dirs)
-                routed = self._merge(base, routed, payload, bucket)
+                routed = self._merge(self.spark.read.schema(self.schema).parquet(*dirs), routed, payload, bucket)
         # A folder of its own for every attempt: a writer that loses the race for the manifest touches no one's files.
         where = f"data/v{version + 1:012d}-{uuid.uuid4().hex}"
+        if not head["files"] or not dirs:
+            routed = routed.repartition(max(1, min(self.buckets, 4096)), "_bucket")
         (
-            routed.repartition(max(1, min(self.buckets, 4096)), "_bucket")
-            .sortWithinPartitions("_bucket", *self.keys)
+            routed.sortWithinPartitions("_bucket", *self.keys)
             .select(*[f.name for f in self.schema], "_bucket")
             .write.partitionBy("_bucket").parquet(f"{self.path}/{where}")
         )
@@ -128,15 +128,12 @@ class BucketedTable:
         return rows.join(keys.select(*self.keys), self.keys, "left_semi")
 
     def _merge(self, base: DataFrame, changes: DataFrame, payload: list[str], bucket) -> DataFrame:
-        b = base.select(*self.keys, F.struct(*payload).alias("_b"))
-        c = changes.select(*self.keys, F.struct(*payload).alias("_c"))
-        on = [F.col(f"b.`{k}`").eqNullSafe(F.col(f"c.`{k}`")) for k in self.keys]
-        both = b.alias("b").hint("merge").join(c.alias("c"), on, "full_outer")
-        newer = F.col("_b").isNull() | (F.col(f"_c.`{self.order}`") > F.col(f"_b.`{self.order}`"))
-        pick = F.when(F.col("_c").isNotNull() & newer, F.col("_c")).otherwise(F.col("_b"))
-        keys = [F.when(F.col("_c").isNotNull(), F.col(f"c.`{k}`")).otherwise(F.col(f"b.`{k}`")).alias(k) for k in self.keys]
-        one = both.select(*keys, pick.alias("_r"))
-        return one.select(*self.keys, *[F.col(f"_r.`{n}`").alias(n) for n in payload], bucket.alias("_bucket"))
+        """Base and changes meet by bucket, the one shuffle there is; inside a bucket they merge in key order."""
+        row = F.struct(*payload).alias("_r")
+        at = lambda old: F.struct(F.col(f"`{self.order}`"), F.lit(old)).alias("_at")  # noqa: E731  the base wins a tie
+        both = base.select(*self.keys, bucket.alias("_bucket"), row, at(True)).union(changes.select(*self.keys, "_bucket", row, at(False)))
+        one = both.repartition(max(1, min(self.buckets, 4096)), "_bucket").groupBy("_bucket", *self.keys).agg(F.max_by("_r", "_at").alias("_r"))
+        return one.select(*self.keys, *[F.col(f"_r.`{n}`").alias(n) for n in payload], "_bucket")
 
 
 def _commit(spark: SparkSession, folder: str, head: dict) -> None:
@@ -203,7 +200,7 @@ def graph_components(edges: DataFrame) -> DataFrame:
         return own
     stars = star_components(links.select("part", "a", "b")).select("part", F.col("node").alias("root"), F.col("root").alias("top"))
     every = own.union(links.select("part", "node", F.col("b").alias("root"))).distinct()
-    return every.join(stars, ["part", "root"], "left").select("part", "node", F.coalesce("top", "root").alias("root"))
+    return durable(every.join(stars, ["part", "root"], "left").select("part", "node", F.coalesce("top", "root").alias("root")), "roots")
 
 
 def star_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -254,15 +251,17 @@ class SupersessionTable:
 
     def _find(self, keys: DataFrame) -> DataFrame:
         """(part, node, root, head, last, gone) of the nodes among ``keys`` that have arrived; head is the record now."""
-        found = self.nodes.lookup(keys).select("part", "node", "root", F.col("root").alias("head"))
-        found = durable(found, "found")
+        columns = ["part", "node", "root", "head", "last", "gone"]
+        found = durable(self.nodes.lookup(keys).select("part", "node", "root", F.col("root").alias("head"), "last", "gone"), "found")
+        done, open_ = found.where("root = node").select(*columns), found.where("root <> node").select("part", "node", "root", "head")
         for _ in range(self.batch + 1):
             # A pointer may lead to a record that was joined to another since: follow it.
-            heads = self.nodes.lookup(found.select("part", F.col("head").alias("node")).distinct()).select("part", F.col("node").alias("head"), F.col("root").alias("next"), "last", "gone")
-            both = durable(found.join(heads, ["part", "head"]), "found")
-            if not both.where("next <> head").take(1):
-                return both.drop("next")
-            found = both.select("part", "node", "root", F.col("next").alias("head"))
+            if not open_.take(1):
+                return done
+            heads = self.nodes.lookup(open_.select("part", F.col("head").alias("node")).distinct()).select("part", F.col("node").alias("head"), F.col("root").alias("next"), "last", "gone")
+            both = durable(open_.join(heads, ["part", "head"]), "found")
+            done = done.union(both.where("next = head").select(*columns))
+            open_ = both.where("next <> head").select("part", "node", "root", F.col("next").alias("head"))
         raise RuntimeError("pointers do not end")
 
     def apply(self, log: DataFrame) -> None:
@@ -275,43 +274,48 @@ class SupersessionTable:
         self.batch += 1
         at = F.lit(self.batch).cast("bigint").alias("batch")
         log = log.where("part is not null and seq is not null")
-        rows = durable(log.groupBy("part", F.col("seq").alias("node")).agg(F.max(F.coalesce("gone", F.lit(False))).alias("gone"), F.flatten(F.collect_set(F.filter(F.coalesce("names", F.array().cast("array<bigint>")), lambda x: x < F.col("seq")))).alias("names")), "batch")
-        links = rows.select("part", F.col("node").alias("by"), F.explode(F.array_distinct("names")).alias("name"), F.lit(False).alias("waited"))
-        if self.pending.version:
+        names = F.filter(F.coalesce("names", F.array().cast("array<bigint>")), lambda x: x < F.col("seq"))
+        rows = log.groupBy("part", F.col("seq").alias("node")).agg(F.max(F.coalesce("gone", F.lit(False))).alias("new"), F.array_distinct(F.flatten(F.collect_set(names))).alias("names"))
+        waiting = None
+        if self.nodes.version:
+            rows = durable(rows, "batch")
+            keys = rows.select("part", "node").union(rows.select("part", F.explode("names")))
             span = rows.agg(F.min("node"), F.max("node")).collect()[0]
-            if span[0] is not None:
+            if self.pending.version and span[0] is not None:
                 # Files are in the order of names, so in a feed without late nodes nothing is read here.
                 waiting = self.pending.snapshot().where(F.col("name").between(span[0], span[1]))
-                links = links.union(waiting.join(rows.select("part", F.col("node").alias("name")), ["part", "name"], "left_semi").select("part", "by", "name", F.lit(True)))
-                links = durable(links.groupBy("part", "by", "name").agg(F.max("waited").alias("waited")), "named")
-        if self.nodes.version:
-            keys = rows.select("part", "node").union(links.select("part", "name")).union(links.select("part", "by")).distinct()
-            known = self._find(keys)
+                waiting = durable(waiting.join(rows.select("part", F.col("node").alias("name")), ["part", "name"], "left_semi").select("part", "name", "by"), "waiting")
+                keys = keys.union(waiting.select("part", "by"))
+            known = self._find(keys.distinct())
         else:
             known = self.spark.createDataFrame([], "part string, node bigint, root bigint, head bigint, last bigint, gone boolean")
-        # Where each node stands before this batch: its record, or itself if it is new.
-        new = rows.select("part", "node", "gone").join(known.select("part", "node"), ["part", "node"], "left_anti")
-        vertex = durable(known.select("part", "node", "head").union(new.select("part", "node", F.col("node").alias("head"))), "vertices")
-        ends = links.join(vertex.select("part", F.col("node").alias("name"), F.col("head").alias("b")), ["part", "name"], "left").join(vertex.select("part", F.col("node").alias("by"), F.col("head").alias("a")), ["part", "by"])
-        ends = durable(ends, "ends")
+        # Every node of the batch or named by it, as far as it has arrived, and where it stood before: in a record or new.
+        nodes = durable(rows.join(known, ["part", "node"], "full").withColumn("at", F.coalesce("head", "node")), "nodes")
+        links = nodes.select("part", F.explode("names").alias("name"), F.col("node").alias("by"), F.col("at").alias("a"), F.lit(False).alias("waited"))
+        if waiting is not None:
+            links = links.union(waiting.join(nodes.select("part", F.col("node").alias("by"), F.col("at").alias("a")), ["part", "by"]).select("part", "name", "by", "a", F.lit(True)))
+        ends = durable(links.join(nodes.select("part", F.col("node").alias("name"), F.col("at").alias("b")), ["part", "name"], "left"), "ends")
         # A link waits while its name is missing; those that waited and are tied now leave.
         self.pending.apply(ends.where("(b is null) <> waited").select("part", "name", "by", at, F.col("waited").alias("_deleted")))
-        roots = graph_components(ends.where("b is not null").select("part", "a", "b")).select("part", F.col("node").alias("head"), F.col("root").alias("top"))
-        # The last node of every record that the batch touches.
-        placed = vertex.join(durable(roots, "roots"), ["part", "head"], "left").withColumn("top", F.coalesce("top", "head"))
-        here = placed.join(rows.select("part", "node", "gone"), ["part", "node"], "left")
-        own = here.where("gone is not null").select("part", "top", F.struct(F.col("node").alias("last"), "gone").alias("m"), F.lit(False).alias("kept"))
-        before = known.select("part", "node", "last", F.col("gone").alias("was")).join(placed, ["part", "node"]).select("part", "top", F.struct("last", F.col("was").alias("gone")).alias("m"), (F.col("head") == F.col("top")).alias("kept"))
-        heads = own.union(before).groupBy("part", "top").agg(F.max("m").alias("m"), F.max(F.when(F.col("kept"), F.col("m"))).alias("o")).where("o is null or o <> m")
-        # Rows that point elsewhere now, new ones among them, and the joined records' own rows.
-        stale = known.select("part", "node", "root").union(known.select("part", F.col("head").alias("node"), F.col("head").alias("root"))).distinct()
-        moved = placed.select("part", "node", "top").union(placed.select("part", F.col("head").alias("node"), "top")).distinct()
-        moved = moved.join(stale, ["part", "node"], "left").where("node <> top and (root is null or root <> top)")
-        none = F.lit(None)
-        self.nodes.apply(
-            heads.select("part", F.col("top").alias("node"), F.col("top").alias("root"), "m.last", "m.gone", at, F.col("m.gone").alias("_deleted"))
-            .union(moved.select("part", "node", F.col("top").alias("root"), none.cast("bigint"), none.cast("boolean"), at, F.lit(True)))
+        roots = graph_components(ends.where("b is not null").select("part", "a", "b")).select("part", F.col("node").alias("at"), F.col("root").alias("top"))
+        placed = nodes.join(roots, ["part", "at"], "left").withColumn("top", F.coalesce("top", "at"))
+        # What each node says: of its record, the last node so far, as it was and as it comes; of rows that
+        # point elsewhere now, its own and that of a record that was joined to another, where they point.
+        none = lambda kind: F.lit(None).cast(kind)
+        state, last = "struct<last: bigint, gone: boolean>", lambda n, g: F.struct(F.col(n).alias("last"), F.col(g).alias("gone"))
+        was = F.when(F.col("head").isNotNull(), last("last", "gone")).cast(state)
+        come = F.when(F.col("new").isNotNull(), last("node", "new")).cast(state)
+        say = lambda key, m, o, to: F.struct(key.alias("node"), m.alias("m"), o.alias("o"), to.alias("to"))
+        top, node, head = F.col("top"), F.col("node"), F.col("head")
+        said = F.array(
+            say(top, F.greatest(was, come), F.when(head == top, was), none("bigint")),
+            F.when((node != top) & ~F.coalesce(F.col("root") == top, F.lit(False)), say(node, none(state), none(state), top)),
+            F.when(head != top, say(head, none(state), none(state), top)),
         )
+        said = placed.select("part", F.explode(said).alias("s")).where("s is not null").select("part", "s.*")
+        one = said.groupBy("part", "node").agg(F.max("m").alias("m"), F.max("o").alias("o"), F.max("to").alias("to")).where("to is not null or o is null or o <> m")
+        gone = F.coalesce("m.gone", F.lit(True)) | F.col("to").isNotNull()
+        self.nodes.apply(one.select("part", "node", F.coalesce("to", "node").alias("root"), F.when(F.col("to").isNull(), F.col("m.last")).alias("last"), F.when(F.col("to").isNull(), F.col("m.gone")).alias("gone"), at, gone.alias("_deleted")))
 
     def standing(self) -> DataFrame:
         """(part, record, seq): the records that stand now, with their last node."""
