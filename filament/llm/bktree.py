@@ -81,16 +81,23 @@ class BKTree:
                 return
             at = nxt
 
-    def within(self, query: str, radius: int) -> list[tuple[int, str]]:
-        """Every (distance, entry) within ``radius``, nearest first."""
+    def within(self, query: str, radius: int, known: dict[int, int] | None = None) -> list[tuple[int, str]]:
+        """Every (distance, entry) within ``radius``, nearest first.
+
+        ``known`` holds the distances of this query that were worked out before, and takes the new ones:
+        circles around one query that widen compare each entry once.
+        """
         if radius < 0 or not self.words:
             return []
         if radius == 0:
             return [(0, query)] if query in self.place else []
         peq, m, found, stack = masks(query), len(query), [], [0]
+        known = {} if known is None else known
         while stack:
             at = stack.pop()
-            d = distance(peq, m, self.words[at])
+            d = known.get(at)
+            if d is None:
+                d = known[at] = distance(peq, m, self.words[at])
             if d <= radius:
                 found.append((d, self.words[at]))
             low, high = d - radius, d + radius
@@ -99,8 +106,9 @@ class BKTree:
 
     def nearest(self, query: str, radius: int) -> list[tuple[int, str]]:
         """All entries at the least distance, if that is within ``radius``; by widening circles."""
+        known: dict[int, int] = {}
         for r in range(radius + 1):
-            if found := self.within(query, r):
+            if found := self.within(query, r, known):
                 return found
         return []
 

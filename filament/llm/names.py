@@ -82,6 +82,7 @@ class Register:
         self.longest = max((len(n) for n in self.by_name), default=0)
         self.longest_first = max((len(squeeze(p[2])) for p in self.persons), default=0)
         self.memo: dict[tuple[str, int], list[str]] = {}
+        self.distances: dict[str, dict[int, int]] = {}
 
     def surnames(self, word: str, slips: int) -> list[str]:
         """The surnames just so many slips from a word, if their lengths allow these."""
@@ -90,7 +91,9 @@ class Register:
         if (word, slips) not in self.memo:
             if len(self.memo) > 200_000:
                 self.memo.clear()
-            self.memo[word, slips] = [n for d, n in self.tree.within(word, slips) if d == slips <= reach(len(n))]
+            if len(self.distances) > 1_000:
+                self.distances.clear()
+            self.memo[word, slips] = [n for d, n in self.tree.within(word, slips, self.distances.setdefault(word, {})) if d == slips <= reach(len(n))]
         return self.memo[word, slips]
 
     def read(self, text: str | None) -> tuple[str | None, str | None, str | None, list[str]]:
