@@ -23,6 +23,8 @@ from filament.runtime import durable, filesystem
 
 #: Links are resolved in blocks of 2**BLOCK_BITS consecutive sequence numbers.
 BLOCK_BITS = 16
+#: A bucket of a log's records is made for about this many rows, if there are no more shuffle partitions anyway.
+BUCKET_ROWS = 2_000_000
 
 
 class BucketedTable:
@@ -330,7 +332,8 @@ def standing(nodes: DataFrame, path: str, buckets: int | None = None, batches: i
     State retracted, in any case and spacing, removes a record. An empty log gives no rows.
     """
     spark = nodes.sparkSession
-    table = SupersessionTable(spark, path, buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() // BUCKET_ROWS)
+    table = SupersessionTable(spark, path, buckets)
     gone = F.lower(F.regexp_replace(F.col(f"`{state}`"), r"(?U)\s+", "")) == "retracted"
     order = F.col(f"`{arrival}`") if arrival in nodes.columns else F.lit(None).cast("bigint")
     log = nodes.select(F.col(f"`{part}`").cast("string").alias("part"), F.col(f"`{seq}`").cast("bigint").alias("seq"), gone.alias("gone"), F.col(f"`{supersedes}`").cast("array<bigint>").alias("names"), order.alias("arrival"))
