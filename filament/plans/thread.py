@@ -82,7 +82,7 @@ RECORDS = """n AS (SELECT sitting_uid, seq, bool_or(regexp_replace(lower(state),
 @query(f"WITH RECURSIVE {RECORDS} SELECT n.sitting_uid, rec.place, n.seq FROM n JOIN rec ON rec.sitting_uid = n.sitting_uid AND rec.top = n.seq WHERE NOT n.gone")
 def thread_view(spark, d):
     """What a reader of the log sees: every record that stands, at the place of the first node that it took over."""
-    return standing(table(spark, d, "thread_nodes"), new_path(spark, "view")).select("sitting_uid", F.col("record").alias("place"), "seq")
+    return standing(table(spark, d, "thread_nodes"), new_path(spark, "view"), batches=1).select("sitting_uid", F.col("record").alias("place"), "seq")
 
 
 @query(f"SELECT sitting_uid, kind, CAST(count(DISTINCT seq) AS BIGINT) AS n FROM thread_nodes WHERE t <= {SEEK_MS} GROUP BY ALL")
