@@ -8,11 +8,14 @@ and once more if its hash falls below the cell's calibrated threshold.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+import pickle
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
+from functools import cached_property, partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filament.llm.tokens import TOKENIZER, encoder
@@ -22,8 +25,10 @@ from filament.runtime import durable
 BINS = 1024
 #: Cells of up to this number are raked on the driver and broadcast; beyond it raking is a loop of aggregations.
 DRIVER_CELLS = 200_000
-#: Topics are clusters of this many documents' words (the ones with the least hash of their id), in so many features.
-TOPIC_SAMPLE, TOPIC_FEATURES, TOPICS = 4_000, 1024, 8
+#: Topics are so many clusters of all documents' words, in so many features.
+TOPIC_FEATURES, TOPICS = 1024, 8
+#: What so many tasks find of a topic model is merged on the driver; of more tasks first in one task.
+MERGED_PARTS = 64
 # Languages kept apart; others and unknown ones are one group each.
 LANGUAGES = ("fr", "en", "de", "es", "it")
 
@@ -38,75 +43,187 @@ def bag(ids: list[int]) -> np.ndarray:
     return np.bincount(np.asarray(ids, np.int64) % TOPIC_FEATURES, minlength=TOPIC_FEATURES)
 
 
+@dataclass
+class Bags:
+    """Token counts of texts that have tokens: ``sizes`` features each, with their ``counts``, one text after another."""
+
+    features: np.ndarray
+    counts: np.ndarray
+    sizes: np.ndarray
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        return self.sizes.cumsum()
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return self.ends - self.sizes
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Bags:
+        """From a matrix of counts, a row a text; rows of zeros are left out."""
+        text, features = np.nonzero(counts)
+        sizes = np.bincount(text, minlength=len(counts))
+        return cls(features, counts[text, features], sizes[sizes > 0])
+
+    @classmethod
+    def read(cls, features: pa.Array, counts: pa.Array) -> Bags:
+        """From the columns that ``measure`` writes, without empty rows."""
+        sizes = pc.binary_length(features).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+        flat = (np.frombuffer(b"".join(x.to_pylist()), kind) for x, kind in ((features, "<u2"), (counts, "<u4")))
+        return cls(next(flat).astype(np.intp), next(flat), sizes)
+
+
 class TopicModel:
     """Spherical k-means over weighted token counts; texts without tokens have topic -1."""
 
+    #: Coordinates are added up as whole numbers of 1 in so many, so that sums do not depend on the order of rows.
+    GRAIN = 2.0**30
+
     def __init__(self, weight: np.ndarray, centres: np.ndarray):
-        self.weight, self.centres = weight, centres
+        self.weight, self.centres = weight.astype(np.float32), centres.astype(np.float32)
+
+    def unit(self, bags: Bags) -> np.ndarray:
+        """The texts' coordinates as vectors of length 1, in the order of ``bags.features``."""
+        x = np.log1p(bags.counts.astype(np.float32)) * self.weight[bags.features]
+        return x / np.repeat(np.maximum(np.sqrt(np.add.reduceat(x * x, bags.starts)), np.float32(1e-12)), bags.sizes)
 
-    def _unit(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.weight
-        return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+    def cosines(self, bags: Bags, x: np.ndarray) -> np.ndarray:
+        """(centre, text)."""
+        return np.stack([np.add.reduceat(x * c[bags.features], bags.starts) for c in self.centres])
+
+    def topics(self, bags: Bags) -> np.ndarray:
+        if not len(bags.sizes) or not len(self.centres):
+            return np.full(len(bags.sizes), -1)
+        return self.cosines(bags, self.unit(bags)).argmax(0)
 
     def topic(self, ids: list[int]) -> int:
-        return int((self.centres @ self._unit(bag(ids))).argmax()) if len(ids) and len(self.centres) else -1
+        return int(self.topics(Bags.of(bag(ids)[None]))[0]) if len(ids) else -1
+
+    def sums(self, bags: Bags) -> np.ndarray:
+        """The sums of the texts nearest to each centre, in grains."""
+        x = self.unit(bags)
+        at = np.repeat(self.cosines(bags, x).argmax(0), bags.sizes) * TOPIC_FEATURES + bags.features
+        return np.bincount(at, np.rint(x * self.GRAIN), len(self.centres) * TOPIC_FEATURES).astype(np.int64).reshape(-1, TOPIC_FEATURES)
+
+    def farthest(self, bags: Bags, sign: int = 1) -> tuple[float, bytes, bytes]:
+        """The text farthest from its nearest centre (``sign`` -1: nearest), its features and counts; of equals the least."""
+        near = sign * self.cosines(bags, self.unit(bags)).max(0).round(6)
+        part = lambda a, i, kind: a[bags.starts[i] : bags.ends[i]].astype(kind).tobytes()
+        return min((float(near[i]), part(bags.features, i, "<u2"), part(bags.counts, i, "<u4")) for i in np.flatnonzero(near == near.min()))
 
     @classmethod
     def fit(cls, counts: np.ndarray, topics: int = TOPICS, rounds: int = 30) -> TopicModel:
-        """From counts of a sample, a row a text; starts with the texts farthest from those chosen before. Deterministic."""
-        n = len(counts)
-        weight = np.log((1 + n) / (1 + (counts > 0).sum(0)))
-        model = cls(weight, np.zeros((0, counts.shape[1])))
-        x = model._unit(counts[counts.sum(1) > 0]) if n else np.zeros((0, counts.shape[1]))
-        if not len(x):
+        """From counts in memory, a row a text."""
+        bags = Bags.of(counts)
+        return cls.fit_over(len(counts), lambda step, merge: step(bags) if len(bags.sizes) else None, topics, rounds)
+
+    @classmethod
+    def fit_over(cls, n: int, each: Callable, topics: int = TOPICS, rounds: int = 30) -> TopicModel:
+        """From all of ``n`` texts; starts with the texts farthest from those chosen before. Deterministic.
+
+        ``each(step, merge)`` applies ``step`` to all bags and merges what it gives two by two; it gives
+        None if there is no text with tokens.
+        """
+        model = cls(np.zeros(TOPIC_FEATURES), np.zeros((0, TOPIC_FEATURES)))
+        used = each(_used, np.add)
+        if used is None:
             return model
-        mean = x.mean(0)
-        chosen = [int((x @ mean).argmax())]
-        near = x @ x[chosen[0]]
-        while len(chosen) < min(topics, len(x)):
-            chosen.append(int(near.argmin()))
-            near = np.maximum(near, x @ x[chosen[-1]])
-        centres = x[chosen]
+        model.weight = np.log((1 + n) / (1 + used)).astype(np.float32)
+
+        def means(centres: np.ndarray) -> np.ndarray:
+            got = each(cls(model.weight, centres).sums, np.add).astype(float)
+            length = np.linalg.norm(got, axis=1, keepdims=True)
+            return np.where(length > 0, got / np.maximum(length, 1e-12), centres)
+
+        _, *first = each(partial(cls(model.weight, means(np.zeros((1, TOPIC_FEATURES)))).farthest, sign=-1), min)
+        chosen, centres = [], np.zeros((0, TOPIC_FEATURES))
+        text, near = first, 0.0
+        # Where all texts are like the chosen ones, more centres would be copies.
+        while text not in chosen and near < 1 - 1e-6:
+            chosen.append(text)
+            b = Bags.read(pa.array(text[:1]), pa.array(text[1:]))
+            centre = np.zeros((1, TOPIC_FEATURES))
+            centre[0, b.features] = model.unit(b)
+            centres = np.concatenate([centres, centre])
+            if len(chosen) == topics:
+                break
+            near, *text = each(cls(model.weight, centres).farthest, min)
         for _ in range(rounds):
-            at = (x @ centres.T).argmax(1)
-            new = np.stack([x[at == k].mean(0) if (at == k).any() else centres[k] for k in range(len(centres))])
-            new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
+            new = means(centres)
             if np.allclose(new, centres, atol=1e-6):
                 break
             centres = new
-        return cls(weight, centres)
+        return cls(model.weight, centres)
 
 
-def fit_topics(documents: DataFrame, tokenizer: str = TOKENIZER) -> TopicModel:
-    """A topic model of ``TOPIC_SAMPLE`` documents (doc_id, text), read whole."""
-    ids = documents.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TOPIC_SAMPLE)
+def _used(bags: Bags) -> np.ndarray:
+    """How many texts have each feature."""
+    return np.bincount(bags.features, minlength=TOPIC_FEATURES)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, _ = encoder(tokenizer)
-        for b in batches:
-            rows = [bag(enc.encode_ordinary(t) if t else []) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "counts"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    picked = documents.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # TOPIC_SAMPLE rows
-    rows = sorted(picked.mapInArrow(count, f"doc_id {kind}, counts array<bigint>").collect(), key=lambda r: r[0])
-    return TopicModel.fit(np.array([r[1] for r in rows], float).reshape(len(rows), TOPIC_FEATURES))
+def fit_topics(bags: DataFrame) -> TopicModel:
+    """A topic model of all rows of ``bags`` (features, counts), each of which is read in every pass."""
+
+    def each(step: Callable, merge: Callable) -> object:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # Few texts at a time, so that their coordinates stay in a processor's cache.
+            parts = (step(Bags.read(*b.slice(i, 250).columns)) for b in batches for i in range(0, b.num_rows, 250))
+            yield from whole(parts)
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from whole(pickle.loads(x) for b in batches for x in b.column(0).to_pylist())
+
+        def whole(parts: Iterator) -> Iterator[pa.RecordBatch]:
+            if (first := next(parts, None)) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(reduce(merge, parts, first))], pa.binary())], names=["part"])
+
+        got = full.mapInArrow(run, "part binary")
+        if many:
+            got = got.repartition(1).mapInArrow(join, "part binary")
+        parts = [pickle.loads(r[0]) for r in got.collect()]  # at most MERGED_PARTS rows of some 64 KB
+        return reduce(merge, parts) if parts else None
 
+    full = bags.select("features", "counts").where("length(features) > 0")
+    many = full.rdd.getNumPartitions() > MERGED_PARTS
+    return TopicModel.fit_over(bags.count(), each)
 
-def measure(documents: DataFrame, model: TopicModel, columns: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """The first columns of ``documents``, whose last is the text, with ``tokens`` and ``topic`` in its place."""
+
+def measure(documents: DataFrame, columns: str, tokenizer: str = TOKENIZER, words: bool = True) -> DataFrame:
+    """The first columns of ``documents``, whose last is the text, with ``tokens`` in its place, and with ``words`` the text's ``features`` and their ``counts``."""
+    names = ["tokens", *(["features", "counts"] if words else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = encoder(tokenizer)
         for b in batches:
-            sizes, topics = [], []
+            sizes, features, counts = [], [], []
             for text in b.column(b.num_columns - 1):  # one text at a time, so that only its tokens are held
                 ids = enc.encode_ordinary(text.as_py() or "")
                 sizes.append(len(ids))
-                topics.append(str(model.topic(ids)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sizes, pa.int64()), pa.array(topics, pa.string())], names=[*b.schema.names[:-1], "tokens", "topic"])
+                if words:
+                    full = bag(ids)
+                    has = np.flatnonzero(full)
+                    features.append(has.astype("<u2").tobytes())
+                    counts.append(full[has].astype("<u4").tobytes())
+            more = [pa.array(sizes, pa.int64()), *((pa.array(x, pa.binary()) for x in (features, counts)) if words else [])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*b.schema.names[:-1], *names])
+
+    return documents.mapInArrow(run, f"{columns}, tokens bigint{', features binary, counts binary' if words else ''}")
 
-    return documents.mapInArrow(run, f"{columns}, tokens bigint, topic string")
+
+def assign(bags: DataFrame, model: TopicModel) -> DataFrame:
+    """``bags`` with the ``topic`` of each text in place of its last two columns, features and counts."""
+    columns = bags.columns[:-2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, 250) for b in batches for i in range(0, b.num_rows, 250)):
+            texts = Bags.read(*b.columns[-2:])
+            topics = np.full(b.num_rows, -1)
+            topics[texts.sizes > 0] = model.topics(Bags(texts.features, texts.counts, texts.sizes[texts.sizes > 0]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(topics.astype(str), pa.string())], names=[*columns, "topic"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bags.schema.fields[:-2])
+    return bags.mapInArrow(run, f"{kinds}, topic string")
 
 
 @dataclass
@@ -178,7 +295,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 0, tokenizer: str
     reached are of the mixture as it came out. Language and topic approach ``lang_shares`` and
     ``topic_shares`` (name to share; missing names get none), or where these are not given the shares
     they have among the documents, as far as the source shares and the caps allow. The topic is the
-    column named by ``topic``, or a cluster of a model fitted on a bounded sample (``fit_topics``).
+    column named by ``topic``, or a cluster of a model fitted on all documents used (``fit_topics``).
 
     Rows with a null source or one without a target are not used. All rows count as they stand:
     repeated documents are each used. Null texts have no tokens, null topics are "other". Null or
@@ -192,11 +309,13 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 0, tokenizer: str
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BINS)).cast("int")
     named = documents.join(few(wanted.select("source")), "source")
     kinds = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, source string, lang string, bin int"
-    given = [] if topic is None else [F.coalesce(F.col(f"`{topic}`").cast("string"), F.lit("other")).alias("given")]
+    given = [] if topic is None else [F.coalesce(F.col(f"`{topic}`").cast("string"), F.lit("other")).alias("topic")]
     named = named.select("doc_id", F.col("source").cast("string").alias("source"), language(F.col("lang")).alias("lang"), u.alias("bin"), *given, F.col("text").cast("string").alias("text"))
-    model = fit_topics(named, tokenizer) if topic is None else TopicModel(np.zeros(0), np.zeros((0, 0)))
-    docs = measure(named, model, kinds + (", given string" if given else ""), tokenizer)
-    docs = durable(docs.withColumn("topic", F.col("given")).drop("given") if given else docs, "mix")
+    if given:
+        docs = durable(measure(named, kinds + ", topic string", tokenizer, False), "mix")
+    else:
+        bags = durable(measure(named, kinds, tokenizer), "bags")
+        docs = durable(assign(bags, fit_topics(bags)), "mix")
     cells = durable(docs.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).join(few(wanted), "source"), "cells")
     size = cells.agg(F.count(F.lit(1)), F.sum("tokens")).collect()[0]
     total = float(size[1] or 0)

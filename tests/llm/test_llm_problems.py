@@ -419,6 +419,28 @@ def test_topics_find_word_groups():
     assert mixing.TopicModel.fit(np.zeros((0, mixing.TOPIC_FEATURES))).topic([1]) == -1
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_topics_are_fitted_on_all_documents(spark, parts):
+    """The model over a table is that of all its texts in memory, however the rows are cut."""
+    rng = random.Random(21)
+    words = ["digue canal rivage écluse port".split(), "impôt budget taux crédit dette".split(), "forêt chêne sève racine tronc".split()]
+    texts = ["", None] + [" ".join(rng.choices(words[i % 3 if i % 50 else 2], k=rng.randint(1, 12))) for i in range(6000)]
+    enc, _ = encoder()
+    want = mixing.TopicModel.fit(np.array([mixing.bag(enc.encode_ordinary(t or "")) for t in texts], float))
+    df = spark.createDataFrame([(i % 5000, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(parts)
+    bags = mixing.measure(df, "doc_id bigint")
+    got = mixing.fit_topics(bags)
+    assert len(got.centres) == mixing.TOPICS and np.array_equal(got.weight, want.weight) and np.allclose(got.centres, want.centres, atol=1e-9)
+    topics = Counter(r[0] for r in mixing.assign(bags, got).select("topic").collect())
+    assert topics == Counter(str(want.topic(enc.encode_ordinary(t or ""))) for t in texts) and topics["-1"] == 2
+
+
+def test_topics_of_few_or_like_documents(spark):
+    for texts, n in (([], 0), (["", None], 0), (["mot"] * 40, 1), (["mot", "digue", ""], 2)):
+        model = mixing.fit_topics(mixing.measure(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string"), "doc_id bigint"))
+        assert len(model.centres) == n and np.isfinite(model.centres).all()
+
+
 # Problem 8
 
 
