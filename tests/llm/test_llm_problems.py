@@ -313,6 +313,31 @@ def test_labels_against_a_list_in_shards(spark):
     assert got[0] == got[1] == got[2] and ("Lorvinet", "a:u4|u5") in got[0] and ("Lorvinet (RV)", "p:u5") in got[0]
 
 
+@pytest.mark.parametrize("parts", ["2", "9"])
+def test_p1_found_decides_between_bearers_of_a_label(spark, tmp_path, parts):
+    """A label that fits two participants is the one whom the hidden Markov model finds, in p1_found itself."""
+    rng = random.Random(5)
+    who = {"Mme Anne Lorvinet": ["digue", "canal", "rivage", "écluse"], "M. Adrien Lorvinet": ["impôt", "budget", "taux", "crédit"], "S1": ["forêt", "chêne"]}
+    data, truth, now = [], {}, "S1"
+    for i in range(300):
+        now = now if rng.random() < 0.7 else rng.choice(list(who))
+        bare = now != "S1" and rng.random() < 0.3
+        truth[i] = now
+        data.append(seg(i, "Lorvinet" if bare else None if i and truth[i - 1] == now and rng.random() < 0.3 else now, float(i), " ".join(rng.choices(who[now], k=5))))
+    data.append(seg(900, "Lorvinet", 1.0, "digue", "nobody named"))
+    segments, people, orgs, hes = frames(spark, data)
+    for name, df in (("segments", segments.drop("key")), ("acteurs", people), ("organes", orgs), ("hesitations", hes)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    starts = [i for i in truth if not i or truth[i] != truth[i - 1]]
+    want = {("s", a, z - 1) for a, z in zip(starts, [*starts[1:], 300], strict=True)} | {("nobody named", 900, 900)}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert {tuple(r) for r in p1_found(spark, str(tmp_path)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 # Problem 6
 
 
